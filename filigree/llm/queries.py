@@ -25,7 +25,34 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hilbert_shards import hilbert_shards
+
+    return hilbert_shards(table(spark, sf_dir, "documents"), shards=16)
+
+
+def op7_importance_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance_rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer=tokenizer_path(), capacity=2048)
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op4_hilbert_shards": op4_hilbert_shards,
+    "op7_importance_rules": op7_importance_rules,
+    "op8_best_fit_packing": op8_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}
