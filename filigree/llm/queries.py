@@ -31,6 +31,13 @@ def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
 def op7_importance_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .importance_rules import quality_rules
 
@@ -52,6 +59,7 @@ def tokenizer_path() -> str:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op4_hilbert_shards": op4_hilbert_shards,
+    "op5_toxicity": op5_toxicity,
     "op7_importance_rules": op7_importance_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
