@@ -25,6 +25,14 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_personal_data, fit
+
+    docs = table(spark, sf_dir, "documents")
+    found = find_personal_data(docs, fit(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hilbert_shards import hilbert_shards
 
@@ -58,6 +66,7 @@ def tokenizer_path() -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op3_skip_chain_pii": op3_skip_chain_pii,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_toxicity": op5_toxicity,
     "op7_importance_rules": op7_importance_rules,
