@@ -58,6 +58,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer=tokenizer_path(), capacity=2048)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -71,5 +77,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op7_importance_rules": op7_importance_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_license_scan": op9_license_scan,
 }
 ORACLES: dict[str, str] = {}
