@@ -17,6 +17,7 @@ are packed once each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -162,28 +163,70 @@ def slots(patterns: dict[Pattern, int]) -> np.ndarray:
     return np.array(sorted(out), np.int64).reshape(-1, 5)
 
 
-def _tokenise(path: str, capacity: int, end_id: int, cache_words: int = 400_000):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Texts whose words are not plain runs of Latin-1 letters and others: the tokenizer sees their words whole.
+_SPECIAL = re.compile(r"['\u0100-\U0010ffff\u00aa\u00b5\u00ba\x00-\x08\x0e-\x1f\x7f-\xa0]|<\|")
+_PIECE = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[^\sa-z\u00df-\u00f6\u00f8-\u00ff]+")
+_LETTER = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]")
+
+
+class WordIds:
+    """Token ids of texts from a cache of words, as white space and changes between letters and others never join tokens.
+
+    A worker keeps one for all its tasks; at ``limit`` words it starts anew.
+    """
+
+    _kept: dict[str, WordIds] = {}
+
+    def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
-        encode = Tokenizer.from_file(path)
-        known: dict[str, bytes] = {"": b""}
+        self.full, self.limit = Tokenizer.from_file(path), limit
+        self.model = self.full.model
+        printable = {b for r in ((33, 127), (161, 173), (174, 256)) for b in range(*r)}
+        rest = (b for b in range(256) if b not in printable)
+        self.bytes_as = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(rest)}  # byte-level alphabet
+        self.words: dict[str, bytes] = {}
+
+    @classmethod
+    def of(cls, path: str) -> WordIds:
+        if path not in cls._kept:
+            cls._kept[path] = cls(path)
+        return cls._kept[path]
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.words) > self.limit:
+            self.words = {}
+        others = []
+        for w in dict.fromkeys(words):
+            if w not in self.words:
+                if _LETTER.match(w) and _PIECE.fullmatch(w):
+                    raw = w if w.isascii() else w.encode().decode("latin-1").translate(self.bytes_as)
+                    self.words[w] = np.array([t.id for t in self.model.tokenize(raw)], "<u4").tobytes()
+                else:
+                    others.append(w)
+        for w, e in zip(others, self.full.encode_batch_fast(others, add_special_tokens=False)):
+            self.words[w] = np.array(e.ids, "<u4").tobytes()
+
+    def ids(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        parts = re.split(r"[ \n]+", text) if _SPECIAL.search(text) else _PIECE.findall(text.lower())
+        try:
+            known = self.words
+            return b"".join([known[w] for w in parts])
+        except KeyError:
+            self._learn(parts)
+            known = self.words
+            return b"".join([known[w] for w in parts])
+
+
+def _tokenise(path: str, capacity: int, end_id: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordIds.of(path)
         end, whole = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             ids, rows = batch.column(0), {k: [] for k in ("at", "piece", "start", "length", "ids_crc32")}
             for at, text in enumerate(batch.column(1).to_pylist()):
-                # White space never joins tokens, so a text's ids are those of its words.
-                parts = (text or "").replace("\n", " ").split(" ")
-                try:
-                    joined = b"".join([known[w] for w in parts])
-                except KeyError:
-                    if len(known) > cache_words:
-                        known = {"": b""}
-                    fresh = [w for w in dict.fromkeys(parts) if w not in known]
-                    for w, e in zip(fresh, encode.encode_batch(fresh, add_special_tokens=False)):
-                        known[w] = np.array(e.ids, "<u4").tobytes()
-                    joined = b"".join([known[w] for w in parts])
-                joined += end
+                joined = words.ids(text or "") + end
                 for piece, start in enumerate(range(0, len(joined), whole)):
                     cut = joined[start : start + whole]
                     for k, v in (("at", at), ("piece", piece), ("start", start // 4), ("length", len(cut) // 4), ("ids_crc32", zlib.crc32(cut))):

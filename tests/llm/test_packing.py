@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from filigree.llm.packing import best_fit_decreasing, local_search, lower_bound, pack
+from filigree.llm.packing import WordIds, best_fit_decreasing, local_search, lower_bound, pack
 
 from .corpus import documents, pairs
 
@@ -35,6 +35,16 @@ def test_round_trip(spark):
     assert pack(documents(spark, []), path).collect() == []
 
 
+def test_word_cache_equals_the_tokenizer():
+    path = str(public.path("word_bpe_49k.json"))
+    encode, words = tokenizers.Tokenizer.from_file(path), WordIds(path, limit=50)
+    r = random.Random(9)
+    bits = ["it's", "we'LL", "naïve", "ÄÖÜß", "中文", "a中b", "e\u0301", "x\x1cy", "\xa0", "<|endoftext|>", "##", "1234", "½x²", "ΑΣ", "'s", "...a", "The", "ing,", "İ", "\U0001f600", "ªº", "\x85", "a\tb", "ÿ", "÷×"]
+    for _ in range(600):
+        text = "".join(r.choice(bits) + r.choice(["", " ", "\n", "  "]) for _ in range(r.randint(0, 6)))
+        assert np.frombuffer(words.ids(text), "<u4").tolist() == encode.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def one_by_one(lengths, capacity):
     room = []
     for x in sorted(lengths, reverse=True):
