@@ -64,6 +64,12 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op10_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .latent_leaks import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -78,5 +84,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_importance_rules": op7_importance_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_license_scan": op9_license_scan,
+    "op10_latent_leaks": op10_latent_leaks,
 }
 ORACLES: dict[str, str] = {}
