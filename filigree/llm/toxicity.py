@@ -99,31 +99,39 @@ class Model:
 
 
 class _Sums:
-    """Products with a sparse matrix given by rows, and with its transpose."""
+    """Products with a sparse matrix given by rows, and with its transpose, a stretch of entries at a time."""
+
+    stretch = 500_000
 
     def __init__(self, row: np.ndarray, col: np.ndarray, weight: np.ndarray, shape: tuple[int, int]):
         self.shape = shape
-        order = np.argsort(row, kind="stable")
-        self.col, self.weight, self.rows, self.at = col[order], weight[order, None], *self._begins(row[order])
-        order = np.argsort(col, kind="stable")
-        self.row_t, self.weight_t, self.cols, self.at_t = row[order], weight[order, None], *self._begins(col[order])
+        self.by_row, self.by_col = self._side(row, col, weight), self._side(col, row, weight)
+
+    @classmethod
+    def _side(cls, keys: np.ndarray, index: np.ndarray, weight: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        order = np.argsort(keys, kind="stable").astype(np.int32)
+        keys, index, weight = keys[order], index[order].astype(np.int32), weight[order].astype(np.float32)[:, None]
+        out, at = [], 0
+        while at < len(keys):
+            end = min(at + cls.stretch, len(keys))
+            end = int(np.searchsorted(keys, keys[end - 1], "right"))  # whole sums
+            begin = np.flatnonzero(np.concatenate([[True], keys[at + 1 : end] != keys[at : end - 1]]))
+            out.append((keys[at:end][begin], begin, index[at:end], weight[at:end]))
+            at = end
+        return out
 
     @staticmethod
-    def _begins(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        return keys[at], at
-
-    def _sum(self, rows: int, x: np.ndarray, index: np.ndarray, weight: np.ndarray, keys: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def _sum(side: list[tuple[np.ndarray, ...]], rows: int, x: np.ndarray) -> np.ndarray:
         out = np.zeros((rows, x.shape[1]), np.float32)
-        if len(keys):
-            out[keys] = np.add.reduceat(x[index] * weight, at, axis=0)
+        for keys, begin, index, weight in side:
+            out[keys] = np.add.reduceat(x[index] * weight, begin, axis=0)
         return out
 
     def times(self, x: np.ndarray) -> np.ndarray:
-        return self._sum(self.shape[0], x, self.col, self.weight, self.rows, self.at)
+        return self._sum(self.by_row, self.shape[0], x)
 
     def transposed(self, x: np.ndarray) -> np.ndarray:
-        return self._sum(self.shape[1], x, self.row_t, self.weight_t, self.cols, self.at_t)
+        return self._sum(self.by_col, self.shape[1], x)
 
 
 def train(data: np.ndarray, offsets: np.ndarray, label: np.ndarray, prior: float, min_n: int = 3, max_n: int = 6, bits: int = 18, dim: int = 6, warm: int = 300, steps: int = 12, rate: float = 0.05, power: float = 3.0, scale: float = 40.0, decay: float = 1e-4, min_docs: int = 5, smooth: float = 2.0, seed: int = 7) -> Model:
@@ -132,20 +140,25 @@ def train(data: np.ndarray, offsets: np.ndarray, label: np.ndarray, prior: float
     share = float(np.clip(prior, 1e-6, 1 - 1e-6))
     if not len(label) or label.min() == label.max():
         return Model(weight, -30.0 if not len(label) or label.max() == 0 else 30.0, min_n, max_n, bits)
-    parts = [(first, grams(d, o, min_n, max_n, bits)) for first, _, d, o in tk.blocks(data, offsets)]
-    key = np.concatenate([g.key for _, g in parts])
-    doc = np.concatenate([g.doc + first for first, g in parts])
-    unique, example, word = np.unique(key, return_index=True, return_inverse=True)
-    # n-grams of each distinct word, from the place where it is met first
-    shift, gw, gb = 0, [], []
-    chosen = np.full(len(key), -1, np.int64)
-    chosen[example] = np.arange(len(unique))
-    for _, g in parts:
-        own = chosen[shift + g.word]
-        gw.append(own[own >= 0])
-        gb.append(g.bucket[own >= 0])
-        shift += len(g.key)
-    gw, gb = np.concatenate(gw), np.concatenate(gb)
+    keys, docs, gw, gb, seen = [], [], [], [], np.zeros(0, tk.U64)
+    for first, _, d, o in tk.blocks(data, offsets, 256 << 10):
+        g = grams(d, o, min_n, max_n, bits)
+        keys.append(g.key)
+        docs.append((g.doc + first).astype(np.int32))
+        # n-grams of words that no earlier block had, each word once
+        fresh, at = np.unique(g.key, return_index=True)
+        new = ~np.isin(fresh, seen, assume_unique=True)
+        rank = np.full(len(g.key), -1, np.int64)
+        rank[at[new]] = np.arange(new.sum())
+        own = rank[g.word]
+        gw.append((own[own >= 0] + len(seen)).astype(np.int32))
+        gb.append(g.bucket[own >= 0].astype(np.int32))
+        seen = np.concatenate([seen, fresh[new]])
+    key, doc, gw, gb = np.concatenate(keys), np.concatenate(docs).astype(np.int64), np.concatenate(gw), np.concatenate(gb)
+    del keys, docs
+    order = np.argsort(seen, kind="stable")
+    unique, word = seen, order[np.searchsorted(seen[order], key)]
+    del key
     n_docs = len(label)
     pair, count = np.unique(doc * len(unique) + word, return_counts=True)
     d, w = pair // len(unique), pair % len(unique)
@@ -198,7 +211,7 @@ def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Model:
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).where(~held_out())
     counts = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -214,7 +227,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tk.utf8(batch.column(2))
-            logits = [model.logits(d, o) for _, _, d, o in tk.blocks(data, offsets)]
+            logits = [model.logits(d, o) for _, _, d, o in tk.blocks(data, offsets, 1 << 20)]
             p = 1 / (1 + np.exp(-np.clip(np.concatenate(logits) if logits else np.zeros(0), -500, 500)))
             yield pa.record_batch({"doc_id": batch.column(0), "held_out": batch.column(1), "score": p, "predicted": (p >= threshold).astype(np.int32)})
 
