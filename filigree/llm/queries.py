@@ -25,6 +25,12 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"), width=5)
+
+
 def op3_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find_personal_data, fit
 
@@ -78,6 +84,7 @@ def tokenizer_path() -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_ngram_join": op2_ngram_join,
     "op3_skip_chain_pii": op3_skip_chain_pii,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_toxicity": op5_toxicity,
