@@ -52,6 +52,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, table(spark, sf_dir, "labels")), threshold=0.3)
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kneser_ney import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_importance_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .importance_rules import quality_rules
 
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_skip_chain_pii": op3_skip_chain_pii,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_toxicity": op5_toxicity,
+    "op6_kneser_ney": op6_kneser_ney,
     "op7_importance_rules": op7_importance_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_license_scan": op9_license_scan,
