@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from datetime import datetime, timezone
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,15 +52,30 @@ def untag(value: Any) -> Any:
     return value
 
 
-def _values(raw: dict[str, str] | None) -> dict[str, tuple]:
-    return {k: encode(untag(json.loads(v))) for k, v in (raw or {}).items()}
+_NAMES = ("t", "s", "i", "d", "b", "j")
+_RECORD = f"kind string, id string, src string, dst string, attr {ATTR.simpleString()}, meta {ATTR.simpleString()}, seq long"
+
+
+def _values(raw: dict[str, Any] | None) -> dict[str, dict[str, Any]]:
+    return {k: dict(zip(_NAMES, encode(untag(v)))) for k, v in (raw or {}).items()}
+
+
+def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of a document's nodes, edges and meta."""
+    for part in batches:
+        for text in part["value"]:
+            doc = json.loads(text)
+            rows = [("meta", None, None, None, {}, _values(doc.get("meta")), 0)]
+            rows += [("node", n.get("id", k), None, None, _values(n.get("attr")), _values(n.get("meta")), i) for i, (k, n) in enumerate((doc.get("nodes") or {}).items())]
+            rows += [("edge", e.get("id", k), e["from_id"], e["to_id"], _values(e.get("attr")), _values(e.get("meta")), i) for i, (k, e) in enumerate((doc.get("edges") or {}).items())]
+            yield pd.DataFrame(rows, columns=["kind", "id", "src", "dst", "attr", "meta", "seq"])
 
 
 def load_json(spark: SparkSession, source: str | dict[str, Any], validate: bool = True) -> PropertyGraph:
     """From a path, JSON text (it begins with a brace) or a dict.
 
-    A file is read and parsed on the executors; ``edge_ids`` and the like are
-    not needed, adjacency follows from the edges.
+    A file is read and parsed on the executors, a task each; ``edge_ids`` and
+    the like are not needed, adjacency follows from the edges.
     """
     if isinstance(source, dict):
         source = json.dumps(source)
@@ -66,16 +83,13 @@ def load_json(spark: SparkSession, source: str | dict[str, Any], validate: bool
         raise TypeError("a path, JSON text or a dict is needed")
     try:
         text = spark.createDataFrame([(source,)], "value string") if source.strip().startswith("{") else spark.read.text(source, wholetext=True)
-        attr = "map<string,string>"
-        schema = f"nodes map<string,struct<id:string,attr:{attr},meta:{attr}>>, edges map<string,struct<id:string,from_id:string,to_id:string,attr:{attr},meta:{attr}>>, meta {attr}"
-        doc = text.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("d"))
-        meta = doc.select("d.meta").first().meta
+        rows = text.mapInPandas(_records, _RECORD)
+        meta = rows.where("kind = 'meta'").first()
     except Exception as e:
         raise RuntimeError(f"can't load the graph: {e}") from e
-    decode = F.udf(_values, ATTR)
-    nodes = doc.select(F.explode("d.nodes")).select(F.coalesce("value.id", "key").alias("id"), decode("value.attr").alias("attr"), decode("value.meta").alias("meta"))
-    edges = doc.select(F.posexplode("d.edges")).select(F.coalesce("value.id", "key").alias("id"), F.col("value.from_id").alias("src"), F.col("value.to_id").alias("dst"), decode("value.attr").alias("attr"), decode("value.meta").alias("meta"), F.col("pos").cast("long").alias("seq"))
-    graph = PropertyGraph(nodes.select([f.name for f in NODES]), edges.select([f.name for f in EDGES]), {k: untag(json.loads(v)) for k, v in (meta or {}).items()})
+    nodes = rows.where("kind = 'node'").select([f.name for f in NODES])
+    edges = rows.where("kind = 'edge'").select([f.name for f in EDGES])
+    graph = PropertyGraph(nodes, edges, decode_attr(meta.meta) if meta else {})
     return graph.validate() if validate else graph
 
 

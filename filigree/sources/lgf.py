@@ -176,6 +176,11 @@ def merge(old: PropertyGraph, new: PropertyGraph) -> PropertyGraph:
     return old.replace(nodes, edges)
 
 
+def _shaped(attrs: dict[str, Any]) -> dict[str, dict[str, Any]]:
+    """Attributes as a pandas column of the dynamic layout takes them."""
+    return {k: dict(zip(("t", "s", "i", "d", "b", "j"), v)) for k, v in encode_map(attrs).items()}
+
+
 def _merged(rows: DataFrame) -> DataFrame:
     """One node an id from rows (id, attr, o), by order of ``o``."""
 
@@ -187,19 +192,12 @@ def _merged(rows: DataFrame) -> DataFrame:
             for k, v in dict(a).items():
                 v = decode(v)
                 attrs[k] = list(dict.fromkeys([*attrs.get(k, []), *v])) if k == "labels" and isinstance(v, list) else v
-        return pd.DataFrame({"id": [part["id"].iloc[0]], "attr": [list(encode_map(attrs).items())]})
-
-    names = ("t", "s", "i", "d", "b", "j")
-
-    def shaped(part: pd.DataFrame) -> pd.DataFrame:
-        out = one(part)
-        out["attr"] = [[(k, dict(zip(names, v))) for k, v in a] for a in out["attr"]]
-        return out
+        return pd.DataFrame({"id": [part["id"].iloc[0]], "attr": [_shaped(attrs)]})
 
     single = rows.groupBy("id").agg(F.count("*").alias("c"))
     twice = rows.join(single.where("c > 1").select("id"), "id", "left_semi")
     once = rows.join(single.where("c = 1").select("id"), "id", "left_semi").select("id", "attr")
-    joined = twice.groupBy("id").applyInPandas(shaped, f"id string, attr {NODES['attr'].dataType.simpleString()}")
+    joined = twice.groupBy("id").applyInPandas(one, f"id string, attr {NODES['attr'].dataType.simpleString()}")
     return once.unionByName(joined).withColumn("meta", F.create_map().cast(NODES["meta"].dataType))
 
 
@@ -207,16 +205,14 @@ def read_lgf(spark: SparkSession, path: str) -> PropertyGraph:
     """All files of a path or pattern, each parsed by one task, files ordered by name; imports are not followed."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     schema = f"kind string, id string, dst string, file string, at long, attr {NODES['attr'].dataType.simpleString()}"
-    names = ("t", "s", "i", "d", "b", "j")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shape = lambda a: [(k, dict(zip(names, v))) for k, v in encode_map(a).items()]
         for part in batches:
             rows = []
             for file, text in zip(part["file"], part["value"]):
                 found = parse("\n".join(x for x in text.splitlines() if not _IMPORT.match(x)))
-                rows += [("node", i, None, file, k, shape(a)) for k, (i, a) in enumerate(found.nodes.items())]
-                rows += [("edge", s, d, file, k, shape(a)) for k, (s, d, a) in enumerate(found.edges)]
+                rows += [("node", i, None, file, k, _shaped(a)) for k, (i, a) in enumerate(found.nodes.items())]
+                rows += [("edge", s, d, file, k, _shaped(a)) for k, (s, d, a) in enumerate(found.edges)]
             yield pd.DataFrame(rows, columns=["kind", "id", "dst", "file", "at", "attr"])
 
     records = files.mapInPandas(run, schema)
