@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph
+from ..plans.lineage import ready
 
 NODE_ATTR = "struct<type:string,name:string,segment:string,status:string,balance:double,price:double,size:int>"
 EDGE_ATTR = "struct<type:string,quantity:double,price:double>"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def key(prefix: str, column: str) -> Column:
