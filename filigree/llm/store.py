@@ -1,38 +1,5 @@
 """Tables kept between steps in the folder that all executors share."""
 
-from __future__ import annotations
+from ..plans.lineage import forget, keep, shared_folder
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where none is named (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.conf.get("filigree.shared.dir", None)
-        if not named:
-            named = "file://" + tempfile.mkdtemp(prefix="filigree-")
-            spark.conf.set("filigree.shared.dir", named)
-    return named.rstrip("/")
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back: lineage is cut, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/filigree-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._filigree_path = path
-    return out
-
-
-def forget(df: DataFrame | None) -> None:
-    """Delete a table made by ``keep`` that nothing reads any more."""
-    path = getattr(df, "_filigree_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["forget", "keep", "shared_folder"]
