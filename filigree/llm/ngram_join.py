@@ -10,15 +10,17 @@ Jaccard similarity is at least 4/5 (``100 * both >= 80 * either``).
 * Heavy sets: inverted lists over the sets' prefixes in one global order.
   Shingles found often come last in it (a bounded table of counts), so that
   common passages stay out of prefixes.  A list is scanned in order of size:
-  each member is paired with the one before it.  After the components of
-  these links are known, only pairs of one list that lie in different
-  components are still compared.  No link that could join two components is
-  left out, and large groups of near copies never meet all pairs.
+  each member is paired with the one before it; then, where a list still holds
+  several components, with ``lags`` others in a hashed order.  After that only
+  pairs of one list that lie in different components are still compared.  No
+  link that could join two components is left out, and large groups of near
+  copies never meet all pairs.
 * The boundary is where the estimated rows of both schemes, from the histogram
   of sizes, are least.
 
-Candidates pass size, position and bin-count bounds (which lose nothing)
-before their texts are fetched and compared exactly.
+Candidates pass bounds that lose nothing, by size, position, parity maps (two
+sets differ in as many shingles at least as their maps do in bits) and bin
+counts, before their texts are fetched and compared exactly.
 
 Defined cases: without words the set is empty and the document stands alone;
 with fewer words than ``width`` the whole sequence is one shingle; repeated
@@ -42,6 +44,8 @@ from .components import components
 from .store import keep
 
 BINS = 256
+WORDS = 8  # of 64 bits, of a set's parity map
+MAP = [f"m{i}" for i in range(WORDS)]
 
 
 def needed(a: int, b: int) -> int:
@@ -122,6 +126,8 @@ def _signatures(width: int, frequent: np.ndarray, counts: np.ndarray):
                 cid = tk.mix(total + n.astype(tk.U64))
                 bins = np.bincount(owner * BINS + (values >> tk.U64(56)).astype(np.int64), minlength=(hi - lo) * BINS)
                 bins = np.minimum(bins, 255).astype(np.uint8).tobytes()
+                odd = np.bincount(owner * 64 * WORDS + (values >> tk.U64(8)).astype(np.int64) % (64 * WORDS), minlength=(hi - lo) * 64 * WORDS) & 1
+                parity = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(-1, WORDS)
                 rank = np.zeros(len(values), np.int64)
                 if len(frequent) and len(values):
                     at = np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)
@@ -137,6 +143,7 @@ def _signatures(width: int, frequent: np.ndarray, counts: np.ndarray):
                         "rk": batch.column(1).slice(lo, hi - lo),
                         "n": n.astype(np.int64),
                         "cid": cid.view(np.int64),
+                        **{c: np.ascontiguousarray(parity[:, i]) for i, c in enumerate(MAP)},
                         "bins": pa.array([bins[i * BINS : (i + 1) * BINS] if n[i] else None for i in range(hi - lo)], pa.binary()),
                         "prefix": pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(length)]).astype(np.int32), ordered[head]),
                     }
@@ -207,9 +214,19 @@ def _linked(width: int):
 
 
 def _near(n_a: Column, p_a: Column, n_b: Column, p_b: Column) -> Column:
-    """Size and position bounds of a pair that shares a prefix shingle."""
+    """Size and position bounds of a pair that shares a prefix shingle.
+
+    At the first shingle that two sets share, all they share is still to come;
+    a pair that links passes there, whatever its later shared shingles say.
+    """
     rest = F.least(n_a - p_a, n_b - p_b)
-    return (5 * F.least(n_a, n_b) >= 4 * F.greatest(n_a, n_b)) & (9 * (rest + F.least(p_a, p_b)) >= 4 * (n_a + n_b))
+    return (5 * F.least(n_a, n_b) >= 4 * F.greatest(n_a, n_b)) & (9 * rest >= 4 * (n_a + n_b))
+
+
+def _alike(a: str, b: str) -> Column:
+    """Parity maps of two sets allow the overlap they need; ``a`` and ``b`` end the columns' names."""
+    apart = sum((F.bit_count(F.col(f"{c}{a}").bitwiseXOR(F.col(f"{c}{b}"))) for c in MAP), F.lit(0))
+    return F.col(f"n{a}") + F.col(f"n{b}") >= 9 * apart
 
 
 class _Texts:
@@ -228,7 +245,15 @@ class _Texts:
         return likely.join(one("a"), "a").join(one("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_linked(self.width), "a long, b long")
 
 
-def jaccard_join(docs: DataFrame, width: int = 5, local: int = 4, frequent_limit: int = 1 << 17, boundary: int | None = None) -> DataFrame:
+def _open(entries: DataFrame, parts: DataFrame, maps: DataFrame) -> DataFrame:
+    """Entries of the lists that hold several components, with their component and parity map."""
+    placed = entries.join(parts, F.col("cid") == F.col("node"), "left").select("g", "cid", "n", "p", F.coalesce("component", "cid").alias("part"))
+    placed = keep(placed, "placed")
+    mixed = placed.groupBy("g").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("g")
+    return keep(placed.join(mixed, "g", "left_semi").join(maps, "cid").select("g", "cid", "n", "p", "part", *MAP), "open")
+
+
+def jaccard_join(docs: DataFrame, width: int = 5, local: int = 4, frequent_limit: int = 1 << 17, boundary: int | None = None, lags: int = 4) -> DataFrame:
     """Per document: doc_id, n_shingles, class_id, and component_id, the least doc_id that links lead to."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     # An order of shingles: any is right, one that puts frequent ones last is fast.
@@ -236,14 +261,14 @@ def jaccard_join(docs: DataFrame, width: int = 5, local: int = 4, frequent_limit
     frequent, counts = often["g"].to_numpy().view(tk.U64), often["n"].to_numpy()
     order = np.argsort(frequent)
     sets = keep(
-        docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), "text").mapInArrow(_signatures(width, frequent[order], counts[order]), f"doc_id {kind}, rk long, n long, cid long, bins binary, prefix array<long>"),
+        docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), "text").mapInArrow(_signatures(width, frequent[order], counts[order]), f"doc_id {kind}, rk long, n long, cid long, {', '.join(f'{c} long' for c in MAP)}, bins binary, prefix array<long>"),
         "sets",
     )
     grouped = sets.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first_doc"), F.min("n").alias("n"), F.min("rk").alias("rk"), F.min_by("bins", "rk").alias("bins"), F.min_by("prefix", "rk").alias("prefix"))
     if boundary is None:
         histogram = {r.n: r.c for r in sets.where("n between 1 and 64").groupBy("n").agg(F.countDistinct("cid").alias("c")).collect()}  # 64 rows at most
         boundary = choose_boundary(histogram)
-    classes = sets.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first_doc"), F.min("n").alias("n"), F.min("rk").alias("rk"), F.min_by("bins", "rk").alias("bins"))
+    classes = sets.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first_doc"), F.min("n").alias("n"), F.min("rk").alias("rk"), *(F.first(c).alias(c) for c in MAP), F.min_by("bins", "rk").alias("bins"))
     classes = keep(classes, "classes")
     texts = _Texts(docs, classes, width)
 
@@ -276,20 +301,25 @@ def jaccard_join(docs: DataFrame, width: int = 5, local: int = 4, frequent_limit
     found = keep(found, "found")
     parts = keep(components(found), "parts")
 
-    # Lists that still hold several components: compare across them.
-    placed = lists.select("g", "cid", "n", "p").join(parts, F.col("cid") == F.col("node"), "left").select("g", "cid", "n", "p", F.coalesce("component", "cid").alias("part"))
-    placed = keep(placed, "placed")
-    mixed = placed.groupBy("g").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("g")
-    open_ = placed.join(mixed, "g", "left_semi")
-    x = open_.select("g", *(F.col(c).alias(f"{c}_a") for c in ("cid", "n", "p", "part")))
-    y = open_.select("g", *(F.col(c).alias(f"{c}_b") for c in ("cid", "n", "p", "part")))
-    across = (
-        x.join(y, (x["g"] == y["g"]) & (F.col("cid_a") > F.col("cid_b")) & (F.col("part_a") != F.col("part_b")) & heavy & _near(F.col("n_a"), F.col("p_a"), F.col("n_b"), F.col("p_b")))
-        .select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
-    bridges = keep(texts.links(keep(across, "across")), "bridges")
+    # Lists that still hold several components: meet some of another component, then compare across.
+    maps = classes.select("cid", *MAP)
+    open_ = _open(lists.select("g", "cid", "n", "p"), parts, maps)
+    shuffled = Window.partitionBy("g").orderBy(F.xxhash64("cid", F.lit(1)), "cid")
+    row = F.struct("cid", "n", "p", "part", *MAP)
+    met = open_.select(row.alias("x"), F.array(*(F.lag(row, k).over(shuffled) for k in range(1, lags + 1))).alias("ys")).select("x", F.explode(F.filter("ys", lambda y: y["part"] != F.col("x.part"))).alias("y"))
+    met = met.select(*(F.col(f"x.{c}").alias(f"{c}_a") for c in ("cid", "n", "p", *MAP)), *(F.col(f"y.{c}").alias(f"{c}_b") for c in ("cid", "n", "p", *MAP)))
+    near = heavy & _near(F.col("n_a"), F.col("p_a"), F.col("n_b"), F.col("p_b")) & _alike("_a", "_b")
+    pair = [F.greatest("cid_a", "cid_b").alias("a"), F.least("cid_a", "cid_b").alias("b")]
+    second = keep(met.where(near).select(*pair).distinct().join(first, ["a", "b"], "left_anti"), "second")
+    bridges = keep(texts.links(second), "bridges")
+    if not bridges.isEmpty():
+        found = keep(found.unionAll(bridges), "found")
+        parts = keep(components(found), "parts")
+        open_ = _open(open_.select("g", "cid", "n", "p"), parts, maps)
+    x, y = (open_.select("g", *(F.col(c).alias(f"{c}{end}") for c in ("cid", "n", "p", "part", *MAP))) for end in ("_a", "_b"))
+    across = x.join(y, (x["g"] == y["g"]) & (F.col("cid_a") > F.col("cid_b")) & (F.col("part_a") != F.col("part_b")) & near).select(*pair).distinct()
+    across = keep(across.join(first.unionAll(second), ["a", "b"], "left_anti"), "across")
+    bridges = keep(texts.links(across), "bridges")
     if not bridges.isEmpty():
         parts = keep(components(found.unionAll(bridges)), "parts")
 
