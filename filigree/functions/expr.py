@@ -140,11 +140,43 @@ def feature_name(kind: str, other: str) -> str:
     return f"_f_{kind}_{other.encode().hex()}"
 
 
+class EndExpr:
+    """The node at an end of an edge."""
+
+    def __init__(self, side: str, kind: T.DataType):
+        self.id = F.col(side)
+        self._a = Attributes(T.StructType([T.StructField(f"_{side}_attr", kind)]), f"_{side}_attr")
+
+    @property
+    def type(self) -> Value:
+        return Value(self._a, "type")
+
+    def attr(self, key: str, default: Any = None) -> Value:
+        return Value(self._a, key, default)
+
+    def has_attr(self, key: str) -> Column:
+        return self._a.has(key)
+
+
 class EdgeExpr:
-    """What an edge predicate gets."""
+    """What an edge predicate gets; its ends' nodes are joined only if used."""
 
-    def __init__(self, attributes: Attributes):
-        self._a = attributes
+    def __init__(self, attributes: Attributes, nodes: T.DataType | None = None):
+        self._a, self._nodes, self.needs = attributes, nodes, set()
+
+    def _end(self, side: str) -> EndExpr:
+        if self._nodes is None:
+            raise AttributeError("no nodes are known here")
+        self.needs.add(side)
+        return EndExpr(side, self._nodes)
+
+    @property
+    def from_node(self) -> EndExpr:
+        return self._end("src")
+
+    @property
+    def to_node(self) -> EndExpr:
+        return self._end("dst")
 
     id, from_id, to_id = (property(lambda self, c=c: F.col(c)) for c in ("id", "src", "dst"))
 

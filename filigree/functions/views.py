@@ -61,8 +61,11 @@ class NodeView:
 
 
 class EdgeView:
-    def __init__(self, edge_id: str | None, src: str, dst: str, attrs: dict[str, Any]):
+    """An edge as a predicate sees it; its ends know their attributes, not their neighbours."""
+
+    def __init__(self, edge_id: str | None, src: str, dst: str, attrs: dict[str, Any], ends: tuple[dict[str, Any], dict[str, Any]] = ({}, {})):
         self.id, self.from_id, self.to_id, self.attrs = edge_id, src, dst, attrs
+        self.from_node, self.to_node = (NodeView(i, a, {}, [], []) for i, a in zip((src, dst), ends))
 
     @property
     def type(self) -> Any:
@@ -108,9 +111,13 @@ def edge_filter(graph: PropertyGraph, predicate: Callable[[EdgeView], bool]) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            verdicts = [predicate(EdgeView(i, s, d, _attrs(a))) for i, s, d, a in zip(part["id"], part["src"], part["dst"], part["attr"])]
+            columns = (part[c] for c in ("id", "src", "dst", "attr", "_src_attr", "_dst_attr"))
+            verdicts = [predicate(EdgeView(i, s, d, _attrs(a), (_attrs(x), _attrs(y)))) for i, s, d, a, x, y in zip(*columns)]
             if any(not isinstance(v, bool) for v in verdicts):
                 raise TypeError("an edge predicate must return a bool")
             yield pd.DataFrame({"seq": part["seq"][verdicts]})
 
-    return graph.edges.join(graph.edges.select("id", "src", "dst", "attr", "seq").mapInPandas(run, "seq long"), "seq", "left_semi").select(graph.edges.columns)
+    wide = graph.edges.select("id", "src", "dst", "attr", "seq")
+    for side in ("src", "dst"):
+        wide = wide.join(graph.nodes.select(F.col("id").alias(side), F.col("attr").alias(f"_{side}_attr")), side, "left")
+    return graph.edges.join(wide.mapInPandas(run, "seq long"), "seq", "left_semi").select(graph.edges.columns)

@@ -183,12 +183,16 @@ class PropertyGraph:
             return self.edges.where(F.coalesce(wanted, F.lit(False)))
         if isinstance(wanted, dict):
             return self.edges.where(has_all(a, wanted))
+        e = EdgeExpr(a, self.nodes.schema["attr"].dataType)
         try:
-            kept = wanted(EdgeExpr(a))
+            kept = wanted(e)
         except Exception:
             kept = None
         if isinstance(kept, Column):
-            return self.edges.where(F.coalesce(kept, F.lit(False)))
+            edges = self.edges
+            for side in sorted(e.needs):
+                edges = edges.join(self.nodes.select(F.col("id").alias(side), F.col("attr").alias(f"_{side}_attr")), side, "left")
+            return edges.where(F.coalesce(kept, F.lit(False))).select(self.edges.columns)
         from .functions.views import edge_filter
 
         return edge_filter(self, wanted)

@@ -188,6 +188,12 @@ def edge_lambda_filter(spark: SparkSession, d: str) -> DataFrame:
     return g.where_edges(lambda e: (~e.has_attr("quantity") & (e.type != "supplies")) | (e.attr("price") > 90000.0)).select("src", "dst", "attr.type")
 
 
+@query(f"{_GRAPH} SELECT e.src, e.dst FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst WHERE e.type = 'placed' AND a.segment = 'BUILDING' AND b.status IS DISTINCT FROM 'F'")
+def edge_ends_filter(spark: SparkSession, d: str) -> DataFrame:
+    g = star_schema.commerce(spark, d)
+    return g.where_edges(lambda e: (e.type == "placed") & (e.from_node.attr("segment") == "BUILDING") & (e.to_node.attr("status") != "F")).select("src", "dst")
+
+
 # Traversals
 
 
