@@ -32,8 +32,7 @@ def _narrow(graph: PropertyGraph, wanted: Any) -> DataFrame:
 class _Small:
     """Adjacency of a graph that fits the driver, by node number, in insertion order."""
 
-    def __init__(self, edges: DataFrame):
-        table = edges.toArrow()
+    def __init__(self, table: pa.Table):
         ends = pa.chunked_array(table["src"].chunks + table["dst"].chunks, type=table["src"].type)
         code = ends.combine_chunks().dictionary_encode() if len(ends) else None
         n = len(table)
@@ -134,7 +133,7 @@ def visit(graph: PropertyGraph, starts: list[str] | DataFrame, depth: int | None
     edges = _narrow(graph, wanted)
     short = depth is not None and depth <= 3 and not ordered
     if isinstance(starts, list) and not short and _is_small(edges):
-        return spark.createDataFrame(_Small(edges).bfs(starts, depth, target), VISITED)
+        return spark.createDataFrame(_Small(edges.toArrow()).bfs(starts, depth, target), VISITED)
     if isinstance(starts, list):
         starts = spark.createDataFrame([(s, i) for i, s in enumerate(starts)], "id string, rank long")
     out = frontier(starts, edges, depth, ordered, target)
@@ -170,15 +169,12 @@ def dfs(graph: PropertyGraph, start: str, depth: int | None = None, wanted: Any
     _known(graph, start)
     edges = _narrow(graph, wanted)
     if _is_small(edges):
-        return _result(graph, graph.spark.createDataFrame(_Small(edges).dfs(start, depth), VISITED))
+        return _result(graph, graph.spark.createDataFrame(_Small(edges.toArrow()).dfs(start, depth), VISITED))
     reach = keep(frontier(graph.spark.createDataFrame([(start,)], "id string"), edges, depth), "reach")
     inner = edges.join(reach.select(F.col("id").alias("src")), "src", "left_semi").join(reach.select(F.col("id").alias("dst")), "dst", "left_semi")
 
     def run(table: pa.Table) -> pa.Table:
-        class Rows:
-            toArrow = staticmethod(lambda: table)
-
-        rows = _Small(Rows).dfs(start, depth)
+        rows = _Small(table).dfs(start, depth)
         return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate((("id", pa.string()), ("depth", pa.int64()), ("rank", pa.int64()), ("parent", pa.string())))})
 
     if inner.isEmpty():
@@ -199,7 +195,7 @@ def path_ids(graph: PropertyGraph, root: str, target: str, max_depth: int | None
     _known(graph, root, target)
     edges = _narrow(graph, None)
     if _is_small(edges):
-        by = {r[0]: r[3] for r in _Small(edges).bfs([root], max_depth, target)}
+        by = {r[0]: r[3] for r in _Small(edges.toArrow()).bfs([root], max_depth, target)}
         parent = by.get
     else:
         start = graph.spark.createDataFrame([(root, 0)], "id string, rank long")
