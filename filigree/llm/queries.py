@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import ready
+from .oracles import ORACLES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +31,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import jaccard_join
 
-    return jaccard_join(table(spark, sf_dir, "documents"), width=5)
+    return jaccard_join(table(spark, sf_dir, "documents"), width=5).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +91,8 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+__all__ = ["ORACLES", "QUERIES", "table", "tokenizer_path"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_ngram_join": op2_ngram_join,
@@ -102,4 +105,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_latent_leaks": op10_latent_leaks,
 }
-ORACLES: dict[str, str] = {}
