@@ -1,7 +1,7 @@
 """Vectorised text primitives shared by the operators: UTF-8 buffers, words, rolling hashes.
 
 Everything works on the bytes of whole Arrow string columns, block by block,
-so a worker's memory is bounded by ``block_bytes`` plus its longest document.
+so a worker's memory is bounded by a block plus its longest document.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ U64 = np.uint64
 #: 0x20 and 0x09-0x0D separate words.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
+BLOCK_ROWS = 2048
 
 _BASE = 0x9E3779B97F4A7C15 | 5
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -64,11 +65,11 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(data: np.ndarray, offsets: np.ndarray, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, bytes, offsets) of runs of whole documents of about ``block_bytes``."""
+    """(first row, last row + 1, bytes, offsets) of runs of whole documents: about ``block_bytes``, at most BLOCK_ROWS."""
     at, n = 0, len(offsets) - 1
     while at < n:
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + block_bytes, "right")) - 1)
-        end = min(end, n)
+        end = min(end, n, at + BLOCK_ROWS)
         yield at, end, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
 
