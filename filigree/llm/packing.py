@@ -177,7 +177,7 @@ class WordIds:
 
     _kept: dict[str, WordIds] = {}
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         self.full, self.limit = Tokenizer.from_file(path), limit
