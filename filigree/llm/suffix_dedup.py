@@ -324,6 +324,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, k: int = 40, bin_width: i
     anchors = texts.mapInArrow(_anchor_rows(length, k), "h long, t long, rk long, lo long, span int, off int")
 
     groups = anchors.groupBy("h").agg(F.count("*").alias("c"), F.min("t").alias("t0"), F.max("t").alias("t1")).where("c > 1").select("h", (F.col("t0") == F.col("t1")).alias("full"))
+    # Written first: both sides of the join are then plain exchanges, and one hot anchor's rows can be split.
+    groups = keep(groups, "groups")
     members = keep(anchors.join(groups, "h").select("h", F.xxhash64("h", "t").alias("tid"), "rk", "lo", "span", "off", "full"), "members")
 
     reps = members.where("not full").groupBy("tid").agg(F.count("*").alias("n"), F.min_by(F.struct("rk", "h", "lo", "span", "off"), F.struct("rk", "lo")).alias("at"))
@@ -332,10 +334,12 @@ def remove_repeats(docs: DataFrame, length: int = 200, k: int = 40, bin_width: i
         docs.select(_key().alias("rk"), "text").join(by_doc, "rk").select("text", "reps").mapInArrow(_bin_rows(length, b), "g long, tid long, n long, o_hi int, lhs binary, rhs binary"),
         "bins",
     )
-    sizes = bins.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("c")).where("c > 1").select("g", "m")
+    sizes = keep(bins.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("c")).where("c > 1").select("g", "m"), "sizes")
     shared = bins.join(sizes, "g")
     n_buckets = max(1, bins.count() // bucket_strings)
-    sorted_ = shared.where(F.col("m").between(1, hot_strings)).select(F.pmod("g", F.lit(n_buckets)).alias("bucket"), "g", "tid", "n", "o_hi", "lhs", "rhs").groupBy("bucket").applyInArrow(_sort_bins(b), "tid long, o_hi int, o_lo int")
+    sorted_ = shared.where(F.col("m").between(1, hot_strings)).select(F.pmod("g", F.lit(n_buckets)).alias("bucket"), "g", "tid", "n", "o_hi", "lhs", "rhs")
+    # Sorting costs far more than its bytes tell: as many tasks as buckets, up to a limit.
+    sorted_ = sorted_.repartition(min(n_buckets, 20_000), "bucket").groupBy("bucket").applyInArrow(_sort_bins(b), "tid long, o_hi int, o_lo int")
     # One row a window; its bytes around the core are its offset and its text at once.
     skip = F.explode(F.expr(f"sequence(0, octet_length(lhs) + octet_length(rhs) - {b - 1})")).alias("skip")
     windows = (
@@ -350,7 +354,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, k: int = 40, bin_width: i
     )
     twice = windows.groupBy("w").agg(F.sum("n").alias("c")).where("c > 1").select("w")
     counted = windows.join(twice, "w", "left_semi").select("tid", F.col("o").cast("int").alias("o_hi"), F.col("o").cast("int").alias("o_lo"))
-    found = sorted_.unionByName(counted).groupBy("tid").agg(F.max("o_hi").alias("o_hi"), F.min("o_lo").alias("o_lo"))
+    found = keep(sorted_.unionByName(counted).groupBy("tid").agg(F.max("o_hi").alias("o_hi"), F.min("o_lo").alias("o_lo")), "found")
 
     anchor = F.col("lo") + F.col("off")
     spans = (
