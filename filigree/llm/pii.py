@@ -6,18 +6,22 @@ be personal data here) then form a conditional random field:
 
 * unary potentials: log odds of a label given the token's shape;
 * chain potentials between candidate tokens that follow one another;
-* skip potentials between distant tokens of equal or similar text (same
-  digits, or same letters without case and punctuation), which share labels.
+* skip potentials between each token and the hub variables of its keys (same
+  digits, same four numbers of an address, or same letters and digits without
+  case and punctuation), through which all repeats share labels.
 
 Loopy sum-product message passing over the whole document makes labels agree:
 a malformed number is marked where the same digits stand in a valid one.
+A hub whose key is that of a whole base span is observed and settles its tokens,
+however many repeats no pattern matches and however usual their shape is
+elsewhere; tokens in a row that together have a span's digits are one token.
 Tokens of base spans are clamped.  Decoded tokens outside base spans add
 spans; base spans always stay.
 
 Potentials are estimated from counts of shapes, neighbours and equal repeats,
-labelled by the base patterns, on the ``fit_rows`` documents of least id hash; application
+labelled by the base patterns, on all documents; application
 covers every whole text.  The cost is linear in a text's tokens: a repeat is
-linked to the one before it, never to all.
+linked to its hubs, never to other repeats.
 
 Defined cases: a null or empty text has no spans; repeated rows are handled
 alike; offsets count code points, ends are exclusive.
@@ -45,9 +49,12 @@ _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _LONG = re.compile(r"[0-9](?:[\x20-]?[0-9]){11}")  # twelve digits at least, as a card needs
 _NOT_DIGIT = re.compile(r"[^0-9]+")
+_NUMBER = re.compile(r"[0-9]+")
 _PLAIN = re.compile(r"[\W_]+")
+_WORDS = re.compile(r"\w")
 
 Span = tuple[int, int, int]  # start, kind, end
+Token = tuple[int, int, int, str, int]  # first number, start, end, text, last number
 N = len(KINDS) + 1  # labels: the kinds, then none
 
 
@@ -95,17 +102,64 @@ def similar(token: str) -> str:
     return plain if len(plain) >= 6 else ""
 
 
-def candidates(text: str) -> list[tuple[int, int, int, str]]:
-    """(token number, start, end, token) of tokens with a digit or @."""
+def address(token: str) -> str:
+    """Key of tokens with the four numbers of an address; '' for others."""
+    parts = _NUMBER.findall(token)
+    return "ip:" + ".".join(p.lstrip("0") or "0" for p in parts) if len(parts) == 4 and "@" not in token and all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in parts) else ""
+
+
+def keys(token: str) -> list[str]:
+    return [k for k in (similar(token), address(token)) if k]
+
+
+def span_keys(text: str, spans: list[Span]) -> dict[str, int]:
+    """Kinds of the keys of base spans as wholes, the first span's where several share one."""
+    out: dict[str, int] = {}
+    for s, k, e in spans:
+        whole = text[s:e]
+        if key := address(whole) if k == 1 else _NOT_DIGIT.sub("", whole) if k >= 2 else similar(whole):
+            out.setdefault(key, k)
+    return out
+
+
+def joined(text: str, tokens: list[Token], clamped: list[int], known: dict[str, int]) -> tuple[list[Token], list[int]]:
+    """Tokens, with those in a row that together have the digits of a card or phone made one."""
+    sizes = sorted({len(k) for k, kind in known.items() if kind >= 2}, reverse=True)
+    if not sizes:
+        return tokens, clamped
+    digits = [_NOT_DIGIT.sub("", t[3]) if k < 0 and "@" not in t[3] else "" for t, k in zip(tokens, clamped)]
+    out, kinds, i = [], [], 0
+    while i < len(tokens):
+        together, ends = digits[i], {}
+        j = i
+        while together and len(together) < sizes[0] and j + 1 < len(tokens) and digits[j + 1]:
+            gap = text[tokens[j][2] : tokens[j + 1][1]]
+            if len(gap) > 4 or _WORDS.search(gap):
+                break
+            j += 1
+            together += digits[j]
+            ends[len(together)] = j
+        j = next((ends[n] for n in sizes if n in ends and known.get(together[:n], -1) >= 2), i)
+        first, start, _, token, last = tokens[i]
+        if j > i:
+            token, last = text[start : tokens[j][2]], tokens[j][4]
+        out.append((first, start, tokens[j][2], token, last))
+        kinds.append(clamped[i])
+        i = j + 1
+    return out, kinds
+
+
+def candidates(text: str) -> list[Token]:
+    """Tokens with a digit or @."""
     if "@" not in text and not _DIGIT.search(text):
         return []
-    return [(i, m.start(), m.end(), m[0]) for i, m in enumerate(_TOKEN.finditer(text)) if "@" in m[0] or _DIGIT.search(m[0])]
+    return [(i, m.start(), m.end(), m[0], i) for i, m in enumerate(_TOKEN.finditer(text)) if "@" in m[0] or _DIGIT.search(m[0])]
 
 
-def clamp(tokens: list[tuple[int, int, int, str]], spans: list[Span]) -> list[int]:
+def clamp(tokens: list[Token], spans: list[Span]) -> list[int]:
     """The kind of the base span that a token meets, or -1."""
     out, at = [], 0
-    for _, start, end, _ in tokens:
+    for _, start, end, _, _ in tokens:
         while at < len(spans) and spans[at][2] <= start and all(s[2] <= start for s in spans[: at + 1]):
             at += 1
         out.append(next((k for s, k, e in spans[at:] if s < end and e > start), -1) if at < len(spans) and spans[at][0] < end else -1)
@@ -129,29 +183,39 @@ class SkipChain:
         self.rounds, self.damping = rounds, damping
 
     @staticmethod
-    def links(tokens: list[tuple[int, int, int, str]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-        """Chain and skip edges between candidate tokens."""
-        near = [(i, i + 1) for i in range(len(tokens) - 1) if tokens[i + 1][0] == tokens[i][0] + 1]
-        last: dict[str, int] = {}
-        far = []
+    def links(tokens: list[Token]) -> tuple[list[tuple[int, int]], dict[str, list[int]]]:
+        """Chain edges between candidate tokens, and the tokens of each key."""
+        near = [(i, i + 1) for i in range(len(tokens) - 1) if tokens[i + 1][0] == tokens[i][4] + 1]
+        hubs: dict[str, list[int]] = {}
         for i, t in enumerate(tokens):
-            if key := similar(t[3]):
-                if key in last:
-                    far.append((last[key], i))
-                last[key] = i
-        return near, far
+            for key in keys(t[3]):
+                hubs.setdefault(key, []).append(i)
+        return near, hubs
 
-    def decode(self, tokens: list[tuple[int, int, int, str]], clamped: list[int]) -> list[int]:
+    def decode(self, tokens: list[Token], clamped: list[int], known: dict[str, int]) -> list[int]:
         n = len(tokens)
         unary = np.array([self.unary.get(shape(t[3]), self.default) for t in tokens])
-        for i, k in enumerate(clamped):
+        near, hubs = self.links(tokens)
+        far, fixed = [], list(clamped)
+        for key, members in hubs.items():
+            if key in known:  # an observed hub
+                for i in members:
+                    fixed[i] = known[key] if fixed[i] < 0 else fixed[i]
+                continue
+            sure = [clamped[i] for i in members if clamped[i] >= 0 and not (clamped[i] == 1 and not key.startswith("ip:"))]
+            if sure:  # parts of base spans
+                unary[members] += self.repeat[Counter(sure).most_common(1)[0][0]]
+            elif len(members) > 1:
+                far += [(i, n) for i in members]
+                unary = np.concatenate([unary, np.zeros((1, N))])
+                n += 1
+        for i, k in enumerate(fixed):
             if k >= 0:
                 unary[i] = -30.0
                 unary[i, k] = 0.0
-        near, far = self.links(tokens)
         edges = near + far
         if not edges:
-            return unary.argmax(1).tolist()
+            return unary[: len(tokens)].argmax(1).tolist()
         a, b = np.array(edges).T
         pot = np.concatenate([np.repeat(self.chain[None], len(near), 0), np.repeat(self.repeat[None], len(far), 0)])
         src, dst = np.concatenate([a, b]), np.concatenate([b, a])
@@ -166,7 +230,7 @@ class SkipChain:
             message = self.damping * message + (1 - self.damping) * out
         belief = unary.copy()
         np.add.at(belief, dst, message)
-        return belief.argmax(1).tolist()
+        return belief[: len(tokens)].argmax(1).tolist()
 
     def spans(self, text: str) -> tuple[list[Span], list[Span]]:
         """Base spans, and all spans."""
@@ -177,15 +241,17 @@ class SkipChain:
         clamped = clamp(tokens, base)
         if all(k >= 0 for k in clamped):
             return base, base
-        labels = self.decode(tokens, clamped)
+        known = span_keys(text, base)
+        tokens, clamped = joined(text, tokens, clamped, known)
+        labels = self.decode(tokens, clamped, known)
         added: list[list[int]] = []
         last = -2
-        for (number, start, end, token), label, own in zip(tokens, labels, clamped):
+        for (first, start, _, token, number), label, own in zip(tokens, labels, clamped):
             if label == N - 1 or own >= 0:
                 continue
             # trailing punctuation stays outside
             s, e = start + len(token) - len(token.lstrip(".,;:!?\"'(<[")), start + len(token.rstrip(".,;:!?\"')>]"))
-            if added and added[-1][1] == label and number == last + 1:
+            if added and added[-1][1] == label and first == last + 1:
                 added[-1][2] = max(e, s)
             elif e > s:
                 added.append([s, label, e])
@@ -200,30 +266,34 @@ def count_potentials(texts: Iterator[str | None]) -> tuple[dict[str, Counter], n
         tokens = candidates(text or "")
         if not tokens:
             continue
-        labels = [k if k >= 0 else N - 1 for k in clamp(tokens, base_spans(text or ""))]
+        base = base_spans(text or "")
+        labels = [k if k >= 0 else N - 1 for k in clamp(tokens, base)]
+        known = span_keys(text or "", base)
         for t, k in zip(tokens, labels):
-            shapes.setdefault(shape(t[3]), Counter())[k] += 1
-        near, far = SkipChain.links(tokens)
-        for m, edges in ((chain, near), (repeat, far)):
-            for i, j in edges:
+            if k < N - 1 or not any(key in known for key in keys(t[3])):  # else a repeat that no pattern matches: of no known label
+                shapes.setdefault(shape(t[3]), Counter())[k] += 1
+        near, hubs = SkipChain.links(tokens)
+        for i, j in near:
+            chain[labels[i], labels[j]] += 1
+        for key, members in hubs.items():
+            if key != similar(tokens[members[0]][3]):
+                continue
+            for i, j in zip(members, members[1:]):
                 # the base patterns only speak of repeats that are equal to the letter
-                m[labels[i], labels[j]] += m is chain or tokens[i][3] == tokens[j][3]
+                repeat[labels[i], labels[j]] += tokens[i][3] == tokens[j][3]
     return shapes, chain, repeat
 
 
-def fit(docs: DataFrame, fit_rows: int = 4000) -> SkipChain:
-    """Potentials from the ``fit_rows`` documents of least id hash."""
+def fit(docs: DataFrame) -> SkipChain:
+    """Potentials from all documents; shapes are a few thousand at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shapes, chain, repeat = count_potentials(iter(batch.column(0).to_pylist()))
-            rows = [(s, k, 0, n) for s, c in shapes.items() for k, n in c.items()]
-            rows += [(which, int(i), int(j), int(m[i, j])) for which, m in (("\1", chain), ("\2", repeat)) for i, j in zip(*np.nonzero(m))]
-            yield pa.record_batch({"s": pa.array([r[0] for r in rows], pa.string()), **{c: pa.array([r[x] for r in rows], pa.int64()) for x, c in ((1, "a"), (2, "b"), (3, "n"))}})
-
-    ids = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").select("text")
-    counts = sample.mapInArrow(run, "s string, a long, b long, n long").groupBy("s", "a", "b").agg(F.sum("n").alias("n")).collect()
+        shapes, chain, repeat = count_potentials(t for batch in batches for t in batch.column(0).to_pylist())
+        rows = [(s, k, 0, n) for s, c in shapes.items() for k, n in c.items()]
+        rows += [(which, int(i), int(j), int(m[i, j])) for which, m in (("\1", chain), ("\2", repeat)) for i, j in zip(*np.nonzero(m))]
+        yield pa.record_batch({"s": pa.array([r[0] for r in rows], pa.string()), **{c: pa.array([r[x] for r in rows], pa.int64()) for x, c in ((1, "a"), (2, "b"), (3, "n"))}})
+
+    counts = docs.select("text").mapInArrow(run, "s string, a long, b long, n long").groupBy("s", "a", "b").agg(F.sum("n").alias("n")).collect()
     shapes: dict[str, Counter] = {}
     chain, repeat = np.zeros((N, N)), np.zeros((N, N))
     for r in sorted(counts):

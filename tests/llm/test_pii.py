@@ -70,3 +70,27 @@ def test_redaction_keeps_columns(spark):
     assert texts[5] == "[PHONE] \U0001f600 [IP]" and texts[900] is None and texts[901] == ""
     assert redact(documents(spark, []), fit(documents(spark, []))).collect() == []
     assert base_spans("") == []
+
+
+def test_every_repeat_shares_the_label(spark):
+    """One valid match and any number of malformed spellings, in one token or several, of shapes that are common elsewhere."""
+    cases = [
+        ("card", "4111111111111111", "4111.1111.1111.1111"),
+        ("card", "4111 1111 1111 1111", "4111/1111/1111/1111"),
+        ("card", "4111111111111111", "4111. 1111. 1111. 1111"),
+        ("email", "someone@mail.example.com", "someone@mail_example_com"),
+        ("ip", "10.20.30.40", "10-20-30-40"),
+        ("phone", "+49 30 12 34 56 78", "49 30 12 34 56 78"),
+        ("phone", "+493012345678", "49/30/12/34/56/78"),
+    ]
+    rows = [(i * 100 + n, f"see {good} then " + " word or ".join([bad] * n) + " end", "en", "s") for i, (_, good, bad) in enumerate(cases) for n in (1, 2, 3, 50)]
+    usual = " and ".join(["on 10-20-30-41 we had 1234 of 56 78 at x@y_z or 1234.5678.1234.5678 or 12. 4111. or 1234/5678/1234/5678"] * 50)
+    docs = documents(spark, rows + [(9000 + i, usual, "en", "s") for i in range(5)])
+    got = {r.doc_id: r for r in find_personal_data(docs, fit(docs)).collect()}
+    for d, text, *_ in rows:
+        kind, good, bad = cases[d // 100]
+        want = [f"{kind}:{m.start()}:{m.end()}" for m in re.finditer(re.escape(bad), text) if m.start() > len(good)]
+        missing = set(want) - set(got[d].spans.split(","))
+        assert not missing, (d, text[:80], got[d].spans[:200])
+        assert len(got[d].spans.split(",")) == len(set(got[d].base_spans.split(",")) | set(want))
+    assert all(got[9000 + i].spans == got[9000 + i].base_spans for i in range(5))
