@@ -2,10 +2,11 @@
 
 Base: places where the words of fixed phrases stand in a row.  The method goes
 further: templates of licence statements are indexed by word and position;
-each file looks up its licence words of highest inverse document frequency,
-the postings vote for (template, relative position), and an alignment that
-enough rare words agree on is scored by the share of template words, weighted
-by inverse frequency, that stand where the template has them.  A template's
+the postings of each template's words of highest inverse document frequency,
+as many as no alignment that passes can lack together, name the (template,
+relative position) pairs of a file, and each is scored by the share of template
+words, weighted by inverse frequency, that stand where the template has them;
+enough words must agree.  No alignment is lost, whatever else the file states.  A template's
 label is given if its mandatory key phrase is also there.
 
 Document frequencies of the templates' few hundred words are counted over all
@@ -113,27 +114,40 @@ def places(phrase: np.ndarray, at: np.ndarray, number: np.ndarray) -> np.ndarray
     return at[:m][ok]
 
 
-def align(index: Index, idf: np.ndarray, at: np.ndarray, number: np.ndarray, rare: int, agree: int, share: float) -> dict[int, float]:
+def seeds(index: Index, idf: np.ndarray, share: float) -> dict[int, list[tuple[int, int]]]:
+    """Postings by word of each template's rarest words: without all of them, its score is under ``share``."""
+    out: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for template, own in enumerate(index.templates):
+        weight = idf[own]
+        order = np.argsort(-weight, kind="stable")
+        rest = weight.sum() - np.cumsum(weight[order])
+        enough = int(np.argmax(rest < share * weight.sum() * (1 - 1e-9))) + 1
+        for position in order[:enough].tolist():
+            out[int(own[position])].append((template, position))
+    return out
+
+
+def align(index: Index, idf: np.ndarray, at: np.ndarray, number: np.ndarray, rare: dict[int, list[tuple[int, int]]], agree: int, share: float) -> dict[int, float]:
     """Templates that align with a document's known words, and their scores."""
-    present = np.unique(number)
-    best = present[np.argsort(-idf[present], kind="stable")][:rare]
-    votes: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for v in best.tolist():
-        spots = at[number == v].tolist()
-        for template, position in index.postings[v]:
-            for spot in spots:
-                votes[template, spot - position].add(v)
     word_at = dict(zip(at.tolist(), number.tolist()))
+    alignments = {(template, spot - position) for spot, v in word_at.items() for template, position in rare.get(v, ())}
+    present = set(number.tolist())
     found: dict[int, float] = {}
-    for (template, shift), agreed in votes.items():
+    key: dict[int, bool] = {}
+    for template, shift in alignments:
         own = index.templates[template]
-        if len(agreed) < min(agree, len(set(own.tolist()) & set(best.tolist())) or agree) or len(agreed) < 2:
+        words = own.tolist()
+        hit = np.array([word_at.get(shift + p) == v for p, v in enumerate(words)])
+        agreed = len(set(own[hit].tolist()))
+        if agreed < max(2, min(agree, len(present.intersection(words)))):
             continue
         weight = idf[own]
-        hit = np.array([word_at.get(shift + p) == v for p, v in enumerate(own.tolist())])
         score = float(weight[hit].sum() / weight.sum())
-        if score >= share and score > found.get(template, 0) and len(places(index.keys[template], at, number)):
-            found[template] = score
+        if score >= share and score > found.get(template, 0):
+            if template not in key:
+                key[template] = len(places(index.keys[template], at, number)) > 0
+            if key[template]:
+                found[template] = score
     return found
 
 
@@ -158,10 +172,11 @@ def frequencies(docs: DataFrame, index: Index) -> np.ndarray:
     return np.log((n + 1) / (df + 0.5)).clip(0.1)
 
 
-def scan(docs: DataFrame, rare: int = 8, agree: int = 3, share: float = 0.7) -> DataFrame:
+def scan(docs: DataFrame, agree: int = 3, share: float = 0.7) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of each document."""
     index = Index.build()
     idf = frequencies(docs, index)
+    rare = seeds(index, idf, share)
     names = list(PHRASES.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -43,3 +43,15 @@ def test_templates(spark):
         assert got[i].labels == "" and got[i].score == 0
     assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) for r in got.values())
     assert scan(documents(spark, [])).collect() == []
+
+
+def test_several_statements(spark):
+    """Statements keep their labels whatever other statements their file has."""
+    r = random.Random(4)
+    rows, want = [], []
+    for i in range(60):
+        some = r.sample(TEMPLATES, [2, 5, 10, len(TEMPLATES)][i % 4])
+        rows.append((i, "".join(prose(r, 30) + ".\n" + t + ".\n" for _, _, t in some), None, None))
+        want.append({label for label, _, _ in some})
+    got = {x.doc_id: set(x.labels.split(",")) for x in scan(documents(spark, rows)).collect()}
+    assert all(want[i] <= got[i] for i in range(60))
