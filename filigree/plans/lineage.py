@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
+
 def ready(spark: SparkSession) -> SparkSession:
     """Let Python workers that start from now on import this package from where the driver has it."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -16,13 +20,18 @@ def ready(spark: SparkSession) -> SparkSession:
     known = environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
+    # Rows of long texts: a batch is held on both sides of the pipe to a worker.
+    if not spark.sparkContext.getConf().contains(_BATCH) and spark.conf.get(_BATCH) != f"{BATCH_BYTES}b":
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
     return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where none is named (tests)."""
+    """``spark.checkpoint.dir`` of the session; a folder of our own only where none is named and all runs on this machine (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("filigree.shared.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="filigree-")
         spark.conf.set("filigree.shared.dir", named)
     return named.rstrip("/")
@@ -32,7 +41,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/filigree-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._filigree_path = path
     return out
