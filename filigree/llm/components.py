@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import forget, keep
 
+_CHUNK = 2_000_000
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One contraction; ``edges`` have a > b and each node points to smaller ones afterwards."""
@@ -23,17 +29,60 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+def least_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of these edges and the least node that each reaches through them."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(nodes))
+    while len(x):
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        apart = low < high
+        if not apart.any():
+            break
+        x, y, low, high = x[apart], y[apart], low[apart], high[apart]
+        np.minimum.at(root, high, low)
+        while True:  # to the roots
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+    return nodes, nodes[root]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges that a task has, a bounded number at a time, become stars around their least nodes."""
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        a, b = (np.concatenate([x.column(i).to_numpy() for x in held]) for i in (0, 1))
+        node, least = least_reached(a, b)
+        moved = node != least
+        return pa.record_batch({"a": node[moved], "b": least[moved]})
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= _CHUNK:
+            yield stars(held)
+            held, size = [], 0
+    if size:
+        yield stars(held)
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of all nodes of ``links`` (a, b longs); the component is its least node.
 
-    Each round is logarithmic in the longest path; tables are written between
-    rounds, so lineage stays short and lost executors cost one round at most.
+    Each round first contracts the edges that lie together in a task, then
+    makes two stars over all; rounds are logarithmic in the longest path at
+    most.  Tables are written between rounds, so lineage stays short and lost
+    executors cost one round at most.
     """
-    now = keep(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    oriented = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now = keep(oriented.mapInArrow(_contract, "a long, b long"), "links")
     mark = None
     for _ in range(max_rounds):
         large = keep(_star(now, True), "large")
-        small = keep(_star(large, False), "small")
+        small = keep(_star(large, False).mapInArrow(_contract, "a long, b long"), "small")
         forget(now)
         forget(large)
         now = small

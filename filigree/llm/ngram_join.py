@@ -7,7 +7,8 @@ Jaccard similarity is at least 4/5 (``100 * both >= 80 * either``).
 * Light sets (at most ``boundary`` shingles): every subset of the size that a
   partner of given size must share is enumerated.  Sets with a subset in
   common are linked by construction, so a star per subset suffices.
-* Heavy sets: inverted lists over the sets' prefixes in one global order.
+* Heavy sets: inverted lists over the sets' prefixes in one global order;
+  lists known to be long are scanned in parts of about ``LIST_ROWS`` members.
   Shingles found often come last in it (a bounded table of counts), so that
   common passages stay out of prefixes.  A list is scanned in order of size:
   each member is paired with the one before it; then, where a list still holds
@@ -44,6 +45,8 @@ from .components import components
 from .store import keep
 
 BINS = 256
+#: Members of an inverted list that one task scans; the lists of shingles that are known to have more are split.
+LIST_ROWS = 50_000
 WORDS = 8  # of 64 bits, of a set's parity map
 MAP = [f"m{i}" for i in range(WORDS)]
 
@@ -146,6 +149,7 @@ def _signatures(width: int, frequent: np.ndarray, counts: np.ndarray):
                         **{c: np.ascontiguousarray(parity[:, i]) for i, c in enumerate(MAP)},
                         "bins": pa.array([bins[i * BINS : (i + 1) * BINS] if n[i] else None for i in range(hi - lo)], pa.binary()),
                         "prefix": pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(length)]).astype(np.int32), ordered[head]),
+                        "lists": pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(length)]).astype(np.int32), (rank[order][head] // LIST_ROWS + 1).astype(np.int32)),
                     }
                 )
 
@@ -229,6 +233,18 @@ def _alike(a: str, b: str) -> Column:
     return F.col(f"n{a}") + F.col(f"n{b}") >= 9 * apart
 
 
+#: Two independent hashes of a row; 64 bits alone would meet others at 10**10 rows.
+KEY = ("_rk1", "_rk2")
+
+
+def row_keys() -> list[Column]:
+    return [F.xxhash64("doc_id", "text").alias(KEY[0]), F.xxhash64(F.lit(1), "text", "doc_id").alias(KEY[1])]
+
+
+def _key() -> Column:
+    return F.struct(*row_keys()).alias("rk")
+
+
 class _Texts:
     """Bin counts and texts of classes, one document each."""
 
@@ -240,17 +256,22 @@ class _Texts:
         bounded = pairs.join(side("a", "n", "bins", "rk"), "a").join(side("b", "n", "bins", "rk"), "b")
         likely = keep(bounded.select("a", "b", "n_a", "n_b", "bins_a", "bins_b").mapInArrow(_possible, "a long, b long"), "likely")
         used = likely.select(F.col("a").alias("cid")).unionAll(likely.select(F.col("b").alias("cid"))).distinct()
-        texts = self.docs.select(F.xxhash64("doc_id", "text").alias("rk"), "text").join(self.classes.join(used, "cid").select("cid", "rk"), "rk").groupBy("cid").agg(F.first("text").alias("text"))
+        texts = self.docs.select(_key(), "text").join(self.classes.join(used, "cid").select("cid", "rk"), "rk").groupBy("cid").agg(F.first("text").alias("text"))
         one = lambda c: texts.select(F.col("cid").alias(c), F.col("text").alias(f"text_{c}"))
         return likely.join(one("a"), "a").join(one("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_linked(self.width), "a long, b long")
 
 
+def _split(seed: int) -> Column:
+    """The part of its list that a member is scanned in."""
+    return F.pmod(F.xxhash64("cid", F.lit(seed + 7)), F.col("k"))
+
+
 def _open(entries: DataFrame, parts: DataFrame, maps: DataFrame) -> DataFrame:
     """Entries of the lists that hold several components, with their component and parity map."""
-    placed = entries.join(parts, F.col("cid") == F.col("node"), "left").select("g", "cid", "n", "p", F.coalesce("component", "cid").alias("part"))
+    placed = entries.join(parts, F.col("cid") == F.col("node"), "left").select("g", "k", "cid", "n", "p", F.coalesce("component", "cid").alias("part"))
     placed = keep(placed, "placed")
     mixed = placed.groupBy("g").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("g")
-    return keep(placed.join(mixed, "g", "left_semi").join(maps, "cid").select("g", "cid", "n", "p", "part", *MAP), "open")
+    return keep(placed.join(mixed, "g", "left_semi").join(maps, "cid").select("g", "k", "cid", "n", "p", "part", *MAP), "open")
 
 
 def jaccard_join(docs: DataFrame, width: int = 5, local: int = 4, frequent_limit: int = 1 << 17, boundary: int | None = None, lags: int = 4) -> DataFrame:
@@ -261,10 +282,10 @@ def jaccard_join(docs: DataFrame, width: int = 5, local: int = 4, frequent_limit
     frequent, counts = often["g"].to_numpy().view(tk.U64), often["n"].to_numpy()
     order = np.argsort(frequent)
     sets = keep(
-        docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), "text").mapInArrow(_signatures(width, frequent[order], counts[order]), f"doc_id {kind}, rk long, n long, cid long, {', '.join(f'{c} long' for c in MAP)}, bins binary, prefix array<long>"),
+        docs.select("doc_id", _key(), "text").mapInArrow(_signatures(width, frequent[order], counts[order]), f"doc_id {kind}, rk struct<{KEY[0]}: bigint, {KEY[1]}: bigint>, n long, cid long, {', '.join(f'{c} long' for c in MAP)}, bins binary, prefix array<long>, lists array<int>"),
         "sets",
     )
-    grouped = sets.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first_doc"), F.min("n").alias("n"), F.min("rk").alias("rk"), F.min_by("bins", "rk").alias("bins"), F.min_by("prefix", "rk").alias("prefix"))
+    grouped = sets.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first_doc"), F.min("n").alias("n"), F.min("rk").alias("rk"), F.min_by("bins", "rk").alias("bins"), F.min_by(F.arrays_zip("prefix", "lists"), "rk").alias("prefix"))
     if boundary is None:
         histogram = {r.n: r.c for r in sets.where("n between 1 and 64").groupBy("n").agg(F.countDistinct("cid").alias("c")).collect()}  # 64 rows at most
         boundary = choose_boundary(histogram)
@@ -274,17 +295,17 @@ def jaccard_join(docs: DataFrame, width: int = 5, local: int = 4, frequent_limit
 
     links = []
     if boundary:
-        light = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "text").where(F.octet_length("text") > 0).join(classes.where(F.col("n") <= boundary).select("cid", "rk"), "rk")
+        light = docs.select(_key(), "text").where(F.octet_length("text") > 0).join(classes.where(F.col("n") <= boundary).select("cid", "rk"), "rk")
         rows = keep(light.select("cid", "text").mapInArrow(_subsets(boundary, width), "key long, cid long, n long, least long"), "subsets")
         # A set of the smaller size is linked with every set that has the subset.
         centres = rows.where("n = least").groupBy("key").agg(F.min("cid").alias("b"))
         links.append(rows.join(centres, "key").where("cid <> b").select(F.col("cid").alias("a"), "b"))
 
-    entries = grouped.where(5 * F.col("n") >= 4 * (boundary + 1)).select("cid", "n", F.posexplode("prefix").alias("p", "g"))
-    by_size = Window.partitionBy("g").orderBy("n", "cid")
+    entries = grouped.where(5 * F.col("n") >= 4 * (boundary + 1)).select("cid", "n", F.posexplode("prefix").alias("p", "e")).select("cid", "n", "p", F.col("e.prefix").alias("g"), F.col("e.lists").alias("k"))
+    by_size = Window.partitionBy("g", _split(0)).orderBy("n", "cid")
     entry = F.struct("cid", "n", "p")
-    scanned = entries.select("g", "cid", "n", "p", F.lag(entry).over(by_size).alias("before"), F.lead("cid").over(by_size).alias("after"))
-    lists = keep(scanned.where("before is not null or after is not null").select("g", "cid", "n", "p", "before"), "lists")
+    scanned = entries.select("g", "k", "cid", "n", "p", F.lag(entry).over(by_size).alias("before"), F.lead("cid").over(by_size).alias("after"))
+    lists = keep(scanned.where("before is not null or after is not null or k > 1").select("g", "k", "cid", "n", "p", "before"), "lists")
     heavy = F.greatest("n_a", "n_b") > boundary
     first = (
         lists.where("before is not null")
@@ -303,8 +324,8 @@ def jaccard_join(docs: DataFrame, width: int = 5, local: int = 4, frequent_limit
 
     # Lists that still hold several components: meet some of another component, then compare across.
     maps = classes.select("cid", *MAP)
-    open_ = _open(lists.select("g", "cid", "n", "p"), parts, maps)
-    shuffled = Window.partitionBy("g").orderBy(F.xxhash64("cid", F.lit(1)), "cid")
+    open_ = _open(lists.select("g", "k", "cid", "n", "p"), parts, maps)
+    shuffled = Window.partitionBy("g", _split(1)).orderBy(F.xxhash64("cid", F.lit(1)), "cid")
     row = F.struct("cid", "n", "p", "part", *MAP)
     met = open_.select(row.alias("x"), F.array(*(F.lag(row, k).over(shuffled) for k in range(1, lags + 1))).alias("ys")).select("x", F.explode(F.filter("ys", lambda y: y["part"] != F.col("x.part"))).alias("y"))
     met = met.select(*(F.col(f"x.{c}").alias(f"{c}_a") for c in ("cid", "n", "p", *MAP)), *(F.col(f"y.{c}").alias(f"{c}_b") for c in ("cid", "n", "p", *MAP)))
@@ -315,7 +336,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, local: int = 4, frequent_limit
     if not bridges.isEmpty():
         found = keep(found.unionAll(bridges), "found")
         parts = keep(components(found), "parts")
-        open_ = _open(open_.select("g", "cid", "n", "p"), parts, maps)
+        open_ = _open(open_.select("g", "k", "cid", "n", "p"), parts, maps)
     x, y = (open_.select("g", *(F.col(c).alias(f"{c}{end}") for c in ("cid", "n", "p", "part", *MAP))) for end in ("_a", "_b"))
     across = x.join(y, (x["g"] == y["g"]) & (F.col("cid_a") > F.col("cid_b")) & (F.col("part_a") != F.col("part_b")) & near).select(*pair).distinct()
     across = keep(across.join(first.unionAll(second), ["a", "b"], "left_anti"), "across")
@@ -325,16 +346,34 @@ def jaccard_join(docs: DataFrame, width: int = 5, local: int = 4, frequent_limit
 
     named = classes.join(parts, F.col("cid") == F.col("node"), "left").select("cid", "first_doc", F.coalesce("component", "cid").alias("part"))
     least = named.groupBy("part").agg(F.min("first_doc").alias("component_id"))
-    final = named.join(least, "part").select("cid", "component_id")
-    return sets.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cid")).alias("cid")).join(final, "cid", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("cid").alias("class_id")
+    final = named.join(least, "part").select("cid", "component_id", "part")
+    return sets.select("doc_id", "rk", "n", F.when(F.col("n") > 0, F.col("cid")).alias("cid")).join(final, "cid", "left").select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.col("cid").alias("class_id"),
+        F.col("part").alias("part_id"),
+        F.col("rk").alias("row_key"),
     )
 
 
 def keep_one(docs: DataFrame, joined: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the row of least id, copies of that row counted once."""
-    first = joined.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = kept.withColumn("_one", F.row_number().over(one)).where("_one = 1").drop("_one")
-    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """``docs`` with one row of each component, that of least doc_id (null ids last).
+
+    Rows are told apart by ``doc_id`` and text, never by ``doc_id`` alone, so
+    two different texts of one id are two documents; equal rows are one.  Rows
+    without words are linked with nothing and all stay.  Columns of any name
+    pass through.
+    """
+    names = [f"_keep_one_{i}" for i in range(len(docs.columns))]
+    own = docs.toDF(*names)
+    at = {c: F.col(n) for c, n in zip(docs.columns, names)}
+    keyed = own.select("*", F.xxhash64(at["doc_id"], at["text"]).alias(KEY[0]), F.xxhash64(F.lit(1), at["text"], at["doc_id"]).alias(KEY[1]))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    rows = joined.where("part_id is not null").groupBy("part_id", "doc_id", "row_key").agg(F.count("*").alias("times"))
+    chosen = keep(rows.groupBy("part_id").agg(F.min_by(F.struct("row_key", "times"), order).alias("x")).select("x.row_key.*", "x.times"), "chosen")
+    alone = joined.where("part_id is null").select("row_key.*").distinct()
+    once = keyed.join(chosen.where("times = 1").drop("times").unionByName(alone), list(KEY), "left_semi").drop(*KEY)
+    # Equal rows of a chosen document: any one, met with map-side combining.
+    more = keyed.join(chosen.where("times > 1").drop("times"), list(KEY), "left_semi").groupBy(*KEY).agg(F.first(F.struct(*names)).alias("x")).select("x.*")
+    return once.unionByName(more).toDF(*docs.columns)

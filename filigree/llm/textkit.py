@@ -6,6 +6,7 @@ so a worker's memory is bounded by a block plus its longest document.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i (mod 2**64) for i < n; kept between calls."""
     if len(_powers.get("up", ())) < n:
-        size = 1 << max(21, int(n).bit_length())
+        size = 1 << max(16, int(n).bit_length())
         for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
             table = np.full(size, base, U64)
             table[0] = 1
@@ -72,6 +73,25 @@ def blocks(data: np.ndarray, offsets: np.ndarray, block_bytes: int = BLOCK_BYTES
         end = min(end, n, at + BLOCK_ROWS)
         yield at, end, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
+    release()
+
+
+_KEPT_POWERS = 1 << 21
+_libc: list[ctypes.CDLL | None] = []
+
+
+def release() -> None:
+    """Give freed memory back: workers live on between tasks, and what one long text took would stay with them."""
+    if len(_powers.get("up", ())) > _KEPT_POWERS:
+        _powers.clear()
+    if not _libc:
+        try:
+            _libc.append(ctypes.CDLL("libc.so.6"))
+        except OSError:  # another C library
+            _libc.append(None)
+    if _libc[0] is not None:
+        _libc[0].malloc_trim(0)
+    pa.default_memory_pool().release_unused()
 
 
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
