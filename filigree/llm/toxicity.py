@@ -3,8 +3,10 @@
 A word is the mean of the embeddings of its character n-grams (``min_n`` to
 ``max_n`` bytes with its boundaries, hashed into ``buckets``), a document is
 the mean of its words, and two softmax outputs are linear in it.  Embeddings
-and output weights are trained jointly by Adam in numpy, so misspellings that
-were never seen score through the n-grams they share.
+and output weights start at random and are trained jointly in numpy, so
+misspellings that were never seen score through the n-grams they share.  A
+group lasso sets embeddings of n-grams that tell little to zero; else the mean
+of a long text would be noise.
 
 The model is fitted on at most ``per_class`` labelled rows of each class,
 those of least hash, whose ``crc32(doc_id) mod 4`` is not 2; the output bias
@@ -13,7 +15,11 @@ embedding and output weights into one number a bucket: it needs no other
 column than the text and runs where the text lies.
 
 Defined cases: a null or wordless text gets the prior; null ids are not held
-out; of repeated labels the largest counts; without labels the score is 0.
+out; of repeated labels the largest counts; without labels the score is 0, and
+with labels of one class it is that class; a score equal to the threshold is
+predicted toxic; very long texts are scored in whole, and fitted on where they
+fit ``fit_bytes``; repeated rows are scored alike, and fitted on once; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -134,7 +140,7 @@ class _Sums:
         return self._sum(self.by_col, self.shape[1], x)
 
 
-def train(data: np.ndarray, offsets: np.ndarray, label: np.ndarray, prior: float, min_n: int = 3, max_n: int = 6, bits: int = 18, dim: int = 6, warm: int = 300, steps: int = 12, rate: float = 0.05, power: float = 3.0, scale: float = 40.0, decay: float = 1e-4, min_docs: int = 5, smooth: float = 2.0, seed: int = 7) -> Model:
+def train(data: np.ndarray, offsets: np.ndarray, label: np.ndarray, prior: float, min_n: int = 3, max_n: int = 6, bits: int = 18, dim: int = 6, steps: int = 80, screen: int = 20, rate: float = 0.1, scale: float = 20.0, shrink: float = 0.6, decay: float = 1e-4, min_docs: int = 5, seed: int = 7) -> Model:
     """Fit on texts in memory; ``prior`` is the share of label 1 that scores are corrected to."""
     weight = np.zeros(1 << bits)
     share = float(np.clip(prior, 1e-6, 1 - 1e-6))
@@ -172,36 +178,37 @@ def train(data: np.ndarray, offsets: np.ndarray, label: np.ndarray, prior: float
     in_doc = _Sums(d, w, (count / np.bincount(doc, minlength=n_docs)[d]).astype(np.float32), (n_docs, len(unique)))
 
     r = np.random.default_rng(seed)
-    # The first dimension begins as the signed square of each n-gram's log odds, which lets telling n-grams outweigh many weak ones.
-    seen = [np.bincount(gb, np.bincount(w[label[d] == c], minlength=len(unique))[gw], minlength=len(used)) + smooth for c in (0, 1)]
-    odds = np.log(seen[1] / seen[1].sum()) - np.log(seen[0] / seen[0].sum())
-    e0 = (r.standard_normal((len(used), dim)) * 0.01).astype(np.float32)
-    e0[:, 0] = np.sign(odds) * np.abs(odds / 3) ** power
-    out0 = (r.standard_normal((dim, 2)) * 0.1).astype(np.float32)
-    out0[0] = (-0.5, 0.5)
-    params = [e0, out0, np.zeros((1, 2), np.float32)]
+    embedding = (r.standard_normal((len(used), dim)) * 0.01).astype(np.float32)
+    params = [embedding, (r.standard_normal((dim, 2)) / np.sqrt(dim)).astype(np.float32), np.zeros((1, 2), np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     target = np.stack([label == 0, label == 1], 1).astype(np.float32)
     balance = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum())).astype(np.float32)[:, None]
-    for step in range(1, warm + steps + 1):
+    for step in range(1, steps + 1):
         e, out, bias = params
-        joint = step > warm  # before that the embeddings rest
-        if joint or step == 1:
-            x = in_doc.times(in_word.times(e)) * np.float32(scale)
+        x = in_doc.times(in_word.times(e)) * np.float32(scale)
         z = x @ out + bias
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         dz = (p - target) * balance
         dx = dz @ out.T * np.float32(scale)
-        slopes = [in_word.transposed(in_doc.transposed(dx)) + np.float32(decay / len(used)) * e if joint else np.zeros_like(e), x.T @ dz + np.float32(decay) * out, dz.sum(0, keepdims=True)]
+        slopes = [in_word.transposed(in_doc.transposed(dx)) + np.float32(decay / max(1, len(used))) * e, x.T @ dz + np.float32(decay) * out, dz.sum(0, keepdims=True)]
         for i, g in enumerate(slopes):
-            if not i and not joint:
-                continue
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.99 * second[i] + 0.01 * g * g
-            # One step size for all embeddings: rare n-grams then move as little as they explain.
-            size = np.sqrt(second[i] / (1 - 0.99**step)) if i else np.sqrt(np.max(second[i]) / (1 - 0.99 ** (step - warm)))
+            size = np.sqrt(second[i] / (1 - 0.99**step))
+            if not i and size.size:  # one step size an n-gram, and rare ones move little
+                size = np.sqrt(np.square(size).mean(1, keepdims=True)) + 0.02 * size.max()
             params[i] = params[i] - np.float32(rate) * (first[i] / (1 - 0.9**step)) / (size + 1e-12)
+        if step > 5:  # a group lasso: n-grams that tell little go to zero as a whole
+            length = np.sqrt(np.square(params[0]).sum(1, keepdims=True))
+            params[0] = params[0] * np.maximum(0, 1 - rate * shrink / np.maximum(length, 1e-9)).astype(np.float32)
+        if step % screen == 0:  # those at zero stay there, and cost nothing further
+            live = np.abs(params[0]).sum(1) > 0
+            number = np.cumsum(live) - 1
+            rest = live[gb]
+            gw, gb, share_of, used = gw[rest], number[gb[rest]], share_of[rest], used[live]
+            params[0], first[0], second[0] = params[0][live], first[0][live], second[0][live]
+            in_word = _Sums(gw, gb, share_of, (len(unique), len(used)))
     e, out, bias = params
     weight[used] = (e @ (out[:, 1] - out[:, 0])) * scale
     return Model(weight, float(bias[0, 1] - bias[0, 0]) + float(np.log(share / (1 - share))), min_n, max_n, bits)
@@ -211,12 +218,15 @@ def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, fit_bytes: int = 32 << 20) -> Model:
+    """Fitted on at most ``per_class`` whole texts of each class, and no more of them than ``fit_bytes`` hold."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).where(~held_out())
     counts = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = known.where("label = 0").orderBy(*order).limit(per_class).unionAll(known.where("label = 1").orderBy(*order).limit(per_class))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("label", "text").toArrow()  # 2 * per_class rows
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    room = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(Window.partitionBy("label").orderBy(*order))
+    rows = texts.withColumn("room", room).where(F.col("room") <= fit_bytes).orderBy("doc_id").select("label", "text").toArrow()
     data, offsets = tk.utf8(rows["text"]) if len(rows) else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
     return train(data, offsets, rows["label"].to_numpy(), counts.get(1, 0) / max(1, sum(counts.values())))
 

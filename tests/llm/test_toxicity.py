@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 from filigree.llm import textkit as tk
-from filigree.llm.toxicity import Model, fit, grams, score
+from filigree.llm.toxicity import Model, fit, grams, score, train
 
 from .corpus import documents, prose
 
@@ -64,3 +64,35 @@ def test_no_labels_and_no_rows(spark):
     model = fit(documents(spark), labels)
     assert {r.predicted for r in score(documents(spark), model).collect()} == {0}
     assert score(documents(spark, []), model).collect() == []
+
+
+def test_joint_steps_do_the_work():
+    """Without them, embeddings are random; with them, held-out texts are told apart."""
+    import pyarrow as pa
+
+    r = random.Random(9)
+    texts, label = [], []
+    for i in range(300):
+        words = prose(r, 60).split(" ")
+        if i % 3 == 0:
+            words[::20] = [r.choice(["vuxomak", "vuxomas", "quzzil"])] * len(words[::20])
+        texts.append(" ".join(words))
+        label.append(int(i % 3 == 0))
+    data, offsets = tk.utf8(pa.array(texts))
+    label, cut = np.array(label), offsets[200]
+    right = []
+    for steps in (0, 80):
+        model = train(data[:cut], offsets[:201], label[:200], 1 / 3, steps=steps)
+        right.append(((model.logits(data[cut:], offsets[200:] - cut) > 0) == (label[200:] == 1)).mean())
+    assert right[0] < 0.8 and right[1] > 0.97
+
+
+def test_long_and_repeated_texts(spark):
+    """Scored in whole; a row that does not fit the bound is not fitted on."""
+    docs, labels = corpus(spark)
+    more = documents(spark, [(5, "vuxomak " * 200_000, "en", "s"), (6, "an er " * 300_000 + "vuxomak quzzil " * 60_000, "en", None)])
+    model = fit(docs.unionByName(more), labels, fit_bytes=1 << 20)
+    got = {r.doc_id: r.score for r in score(more, model).collect()}
+    assert got[5] > 0.9 and got[6] > 0.3
+    twice = [r.score for r in score(docs.where("doc_id = 7"), model).collect()]
+    assert len(twice) == 2 and twice[0] == twice[1]
