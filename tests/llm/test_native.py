@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import xxhash
 from filigree.llm.hilbert_shards import curve_index, hilbert_shards
 from filigree.llm.importance_rules import quality_rules
 
@@ -51,32 +52,40 @@ def test_rules_against_plain_python(spark):
     got = quality_rules(docs, labels, buckets=500)
     want = sorted(((d, *base(t)) for d, t in pairs(docs)), key=repr)
     assert sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got.collect()), key=repr) == want
-    # the score: hashes come from the engine, ratios and means from here
-    hashed = {}
-
-    def bucket(*tokens):
-        if tokens not in hashed:
-            args = ", ".join("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in tokens)
-            hashed[tokens] = spark.sql(f"select pmod(xxhash64({args}), 500) b").first().b
-        return hashed[tokens]
-
-    some = documents(spark, [(1, "alpha beta gamma " * 10, "en", "s"), (2, "%% $$ ## " * 10 + "end", "en", "s"), (5, "alpha beta", "en", "s")])
-    lab = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    # the score and the threshold, with hashes, ratios and means made here
+    mixed = lambda raw, seed: xxhash.xxh64(raw, seed=seed % (1 << 64)).intdigest()
+    pack = lambda x: x.to_bytes(8, "little")
 
     def feats(t):
-        w = [x[-3:] for x in t.split()]
-        return [bucket(x) for x in w] + [bucket(a, b) for a, b in zip(w, w[1:])]
+        h = [mixed(x.encode(), 42) for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        return [signed(x) % 500 for x in h] + [signed(mixed(pack(b), mixed(pack(a), 42))) % 500 for a, b in zip(h, h[1:])]
 
+    good_ids = {i for i in range(60) if i % 3 > 0}
+    held = {i for i in good_ids if zlib.crc32(str(i).encode()) % 4 == 3}
     raw, good = [1.0] * 500, [1.0] * 500
-    for d, t in pairs(some):
+    for d, t in pairs(docs):
         for b in feats(t):
             raw[b] += 1
-            good[b] += d == 1
-    for r in quality_rules(some, lab, buckets=500).collect():
-        f = feats(dict(pairs(some))[r.doc_id])
-        s = sum(math.log(good[b] / sum(good)) - math.log(raw[b] / sum(raw)) for b in f) / len(f)
-        assert abs(s - r.score) < 1e-9
-        assert r.kept == (not r.base_failed and s >= -0.5)
+            good[b] += d in good_ids - held
+    ratio = [math.log(g / sum(good)) - math.log(r / sum(raw)) for g, r in zip(good, raw)]
+    mean = lambda t: sum(ratio[b] for b in feats(t)) / len(feats(t)) if feats(t) else 0.0
+    known = sorted(mean(t) for d, t in pairs(docs) if d in held and feats(t))
+    limit = known[math.ceil(0.02 * len(known)) - 1]
+    texts = {(d, base(t)): t for d, t in pairs(docs)}
+    for r in got.collect():
+        s = mean(texts[r.doc_id, (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)])
+        assert abs(s - r.score) < 1e-6
+        if abs(s - limit) > 1e-6:
+            assert r.kept == (not r.base_failed and s >= limit)
+    assert {r.kept for r in got.collect()} == {True, False}
+
+
+def test_rules_tell_words_by_their_beginnings(spark):
+    """Words that differ before their ending are different n-grams."""
+    docs = documents(spark, [(i, " ".join(f"{'good' if i < 30 else 'evil'}{j}" for j in range(40)), "en", "s") for i in range(60)])
+    labels = spark.createDataFrame([(i, int(i < 30), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    assert all(r.kept == (r.doc_id < 30) for r in quality_rules(docs, labels).collect())
 
 
 def test_rules_on_no_rows(spark):
