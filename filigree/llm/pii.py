@@ -18,13 +18,18 @@ elsewhere; tokens in a row that together have a span's digits are one token.
 Tokens of base spans are clamped.  Decoded tokens outside base spans add
 spans; base spans always stay.
 
-Potentials are estimated from counts of shapes, neighbours and equal repeats,
-labelled by the base patterns, on all documents; application
-covers every whole text.  The cost is linear in a text's tokens: a repeat is
-linked to its hubs, never to other repeats.
+Potentials maximise the penalised pseudo-likelihood of the labels that the base
+patterns give, over the counted configurations (shape, labels of both
+neighbours and of equal repeats) of all documents; application covers every
+whole text.  The cost is linear in a text's length: patterns read a run of
+characters once, and a repeat is linked to its hubs, never to other repeats.
 
 Defined cases: a null or empty text has no spans; repeated rows are handled
-alike; offsets count code points, ends are exclusive.
+alike; offsets count code points, ends are exclusive; spans of different kinds
+may overlap, and a token that several meet has the kind of the first; very long
+texts are one field; an empty table gives no rows, and potentials of no data
+add spans only for repeats of base ones; other columns are ignored, and pass
+``redact`` whatever their names.
 """
 
 from __future__ import annotations
@@ -39,9 +44,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-#: The base patterns.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: The base patterns, written so that a long run of their characters is read once: a number is only
+#: tried from its first digit, and an address from its ``@`` (``emails``).
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -66,11 +73,25 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """Leftmost matches of ``local@domain``, an ``@`` at a time; each has one."""
+    out, low, at = [], 0, text.find("@")
+    while at >= 0:
+        if m := _DOMAIN.match(text, at + 1):
+            before = text[low:at]
+            local = len(before) - len(before.rstrip(_LOCAL))
+            if local:
+                out.append((at - local, m.end()))
+        low = max(at + 1, out[-1][1] if out else 0)
+        at = text.find("@", at + 1)
+    return out
+
+
 def base_spans(text: str) -> list[Span]:
     """Matches that pass their checks, by start and then kind."""
     out: list[Span] = []
     if "@" in text:
-        out += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+        out += [(s, 0, e) for s, e in emails(text)]
     if not _DIGIT.search(text):
         return out
     if "." in text:
@@ -87,10 +108,11 @@ def base_spans(text: str) -> list[Span]:
 
 
 def shape(token: str) -> str:
-    """What a unary potential sees: counts of characters by class, coarsely."""
-    digits = sum(c in "0123456789" for c in token)
+    """What a unary potential sees: counts of characters by class, coarsely, and whether a card's checksum fails."""
+    number = _NOT_DIGIT.sub("", token)
+    digits = len(number)
     letters = sum(c.isalpha() for c in token)
-    return f"{min(digits, 20)}{'a' * min(2, (letters + 3) // 4)}{'@' * ('@' in token)}{'+' * (token[0] == '+')}{'(' * ('(' in token)}{'-' * min(3, token.count('-'))}{'.' * min(3, token.strip('.,').count('.'))}"
+    return f"{min(digits, 20)}{'a' * min(2, (letters + 3) // 4)}{'@' * ('@' in token)}{'+' * (token[0] == '+')}{'(' * ('(' in token)}{'-' * min(3, token.count('-'))}{'.' * min(3, token.strip('.,').count('.'))}{'!' * (12 <= digits <= 19 and not luhn(number))}"
 
 
 def similar(token: str) -> str:
@@ -158,28 +180,21 @@ def candidates(text: str) -> list[Token]:
 
 def clamp(tokens: list[Token], spans: list[Span]) -> list[int]:
     """The kind of the base span that a token meets, or -1."""
-    out, at = [], 0
+    out, live, at = [], [], 0
     for _, start, end, _, _ in tokens:
-        while at < len(spans) and spans[at][2] <= start and all(s[2] <= start for s in spans[: at + 1]):
+        while at < len(spans) and spans[at][0] < end:
+            live.append(spans[at])
             at += 1
-        out.append(next((k for s, k, e in spans[at:] if s < end and e > start), -1) if at < len(spans) and spans[at][0] < end else -1)
+        live = [s for s in live if s[2] > start]
+        out.append(live[0][1] if live else -1)
     return out
 
 
 class SkipChain:
     """Potentials of the field, and inference by loopy sum-product."""
 
-    def __init__(self, shapes: dict[str, Counter], chain: np.ndarray, repeat: np.ndarray, rounds: int = 8, damping: float = 0.3):
-        prior = np.ones(N)
-        for c in shapes.values():
-            for k, v in c.items():
-                prior[k] += v
-        prior /= prior.sum()
-        self.default = np.log(0.1 * prior + 0.9 * np.eye(N)[N - 1])
-        self.unary = {s: np.log((np.array([c[k] for k in range(N)], float) + 2 * np.exp(self.default)) / (sum(c.values()) + 2)) for s, c in shapes.items()}
-        joint = lambda m: np.log((m + 0.5) / (m + 0.5).sum())
-        apart = lambda j: j - np.logaddexp.reduce(j, 1)[:, None] - np.logaddexp.reduce(j, 0)[None, :]
-        self.chain, self.repeat = np.clip(apart(joint(chain)), -4, 4), np.clip(apart(joint(repeat + repeat.T + 20 * np.eye(N))), -4, 4)
+    def __init__(self, unary: dict[str, np.ndarray], default: np.ndarray, chain: np.ndarray, repeat: np.ndarray, rounds: int = 8, damping: float = 0.3):
+        self.unary, self.default, self.chain, self.repeat = unary, default, chain, repeat
         self.rounds, self.damping = rounds, damping
 
     @staticmethod
@@ -193,6 +208,10 @@ class SkipChain:
         return near, hubs
 
     def decode(self, tokens: list[Token], clamped: list[int], known: dict[str, int]) -> list[int]:
+        return self.beliefs(tokens, clamped, known).argmax(1).tolist()
+
+    def beliefs(self, tokens: list[Token], clamped: list[int], known: dict[str, int]) -> np.ndarray:
+        """Log marginals of the tokens' labels, up to a constant each."""
         n = len(tokens)
         unary = np.array([self.unary.get(shape(t[3]), self.default) for t in tokens])
         near, hubs = self.links(tokens)
@@ -215,7 +234,7 @@ class SkipChain:
                 unary[i, k] = 0.0
         edges = near + far
         if not edges:
-            return unary[: len(tokens)].argmax(1).tolist()
+            return unary[: len(tokens)]
         a, b = np.array(edges).T
         pot = np.concatenate([np.repeat(self.chain[None], len(near), 0), np.repeat(self.repeat[None], len(far), 0)])
         src, dst = np.concatenate([a, b]), np.concatenate([b, a])
@@ -230,7 +249,7 @@ class SkipChain:
             message = self.damping * message + (1 - self.damping) * out
         belief = unary.copy()
         np.add.at(belief, dst, message)
-        return belief[: len(tokens)].argmax(1).tolist()
+        return belief[: len(tokens)]
 
     def spans(self, text: str) -> tuple[list[Span], list[Span]]:
         """Base spans, and all spans."""
@@ -259,9 +278,9 @@ class SkipChain:
         return base, sorted(base + [tuple(x) for x in added])
 
 
-def count_potentials(texts: Iterator[str | None]) -> tuple[dict[str, Counter], np.ndarray, np.ndarray]:
-    shapes: dict[str, Counter] = {}
-    chain, repeat = np.zeros((N, N)), np.zeros((N, N))
+def count_configurations(texts: Iterator[str | None]) -> Counter:
+    """How often a token of a shape, its neighbours and its repeats have their labels: (shape, left, right, repeats, own)."""
+    out: Counter = Counter()
     for text in texts:
         tokens = candidates(text or "")
         if not tokens:
@@ -269,39 +288,72 @@ def count_potentials(texts: Iterator[str | None]) -> tuple[dict[str, Counter], n
         base = base_spans(text or "")
         labels = [k if k >= 0 else N - 1 for k in clamp(tokens, base)]
         known = span_keys(text or "", base)
+        same: dict[str, Counter] = {}
         for t, k in zip(tokens, labels):
-            if k < N - 1 or not any(key in known for key in keys(t[3])):  # else a repeat that no pattern matches: of no known label
-                shapes.setdefault(shape(t[3]), Counter())[k] += 1
-        near, hubs = SkipChain.links(tokens)
-        for i, j in near:
-            chain[labels[i], labels[j]] += 1
-        for key, members in hubs.items():
-            if key != similar(tokens[members[0]][3]):
-                continue
-            for i, j in zip(members, members[1:]):
-                # the base patterns only speak of repeats that are equal to the letter
-                repeat[labels[i], labels[j]] += tokens[i][3] == tokens[j][3]
-    return shapes, chain, repeat
+            same.setdefault(t[3], Counter())[k] += 1
+        for i, (t, k) in enumerate(zip(tokens, labels)):
+            if k == N - 1 and any(key in known for key in keys(t[3])):
+                continue  # a repeat that no pattern matches: of no known label
+            left = labels[i - 1] if i and t[0] == tokens[i - 1][4] + 1 else N
+            right = labels[i + 1] if i + 1 < len(tokens) and tokens[i + 1][0] == t[4] + 1 else N
+            others = same[t[3]] - Counter([k])
+            repeats = max(others, key=lambda x: (others[x], -x)) if others else N
+            out[shape(t[3]), left, right, repeats, k] += 1
+    return out
+
+
+def fit_potentials(counts: Counter, steps: int = 300, rate: float = 0.2, strength: float = 1.0) -> SkipChain:
+    """Potentials of greatest penalised pseudo-likelihood: each label given its token's shape, neighbours and repeats."""
+    prior = np.ones(N)
+    for (*_, k), n in counts.items():
+        prior[k] += n
+    prior /= prior.sum()
+    default = np.log(0.1 * prior + 0.9 * np.eye(N)[N - 1])
+    none = np.zeros((N, N))
+    if not counts:
+        return SkipChain({}, default, none, none)
+    rows = sorted(counts)
+    shapes = sorted({r[0] for r in rows})
+    number = {x: i for i, x in enumerate(shapes)}
+    s = np.array([number[r[0]] for r in rows])
+    left, right, repeats, own = np.array([r[1:] for r in rows]).T
+    n = np.array([counts[r] for r in rows], float)
+    total = n.sum()
+    target = np.eye(N)[own]
+    params = [np.tile(default, (len(shapes), 1)), none.copy(), none.copy()]
+    start = [p.copy() for p in params]
+    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    pad = lambda m: np.concatenate([m, np.zeros((1, N))])  # noqa: E731  no neighbour, no potential
+    for step in range(1, steps + 1):
+        unary, chain, half = params
+        repeat = half + half.T
+        score = unary[s] + pad(chain)[left] + pad(chain.T)[right] + pad(repeat)[repeats]
+        p = np.exp(score - score.max(1, keepdims=True))
+        error = (p / p.sum(1, keepdims=True) - target) * n[:, None]
+        sums = [np.stack([np.bincount(i, error[:, k], minlength=size) for k in range(N)], 1) for i, size in ((s, len(shapes)), (left, N + 1), (right, N + 1), (repeats, N + 1))]
+        of_repeat = sums[3][:N] + sums[3][:N].T
+        slopes = [sums[0], sums[1][:N] + sums[2][:N].T, of_repeat]
+        for i, slope in enumerate(slopes):
+            slope = (slope + strength * (params[i] - start[i])) / total
+            first[i] = 0.9 * first[i] + 0.1 * slope
+            second[i] = 0.99 * second[i] + 0.01 * slope * slope
+            params[i] = params[i] - rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-10) * min(1.0, 2 * (1 - step / (steps + 1)))
+    unary, chain, half = params
+    return SkipChain(dict(zip(shapes, unary)), default, chain, half + half.T)
 
 
 def fit(docs: DataFrame) -> SkipChain:
-    """Potentials from all documents; shapes are a few thousand at most."""
+    """Potentials from all documents; shapes are a few thousand at most, so configurations are bounded as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes, chain, repeat = count_potentials(t for batch in batches for t in batch.column(0).to_pylist())
-        rows = [(s, k, 0, n) for s, c in shapes.items() for k, n in c.items()]
-        rows += [(which, int(i), int(j), int(m[i, j])) for which, m in (("\1", chain), ("\2", repeat)) for i, j in zip(*np.nonzero(m))]
-        yield pa.record_batch({"s": pa.array([r[0] for r in rows], pa.string()), **{c: pa.array([r[x] for r in rows], pa.int64()) for x, c in ((1, "a"), (2, "b"), (3, "n"))}})
-
-    counts = docs.select("text").mapInArrow(run, "s string, a long, b long, n long").groupBy("s", "a", "b").agg(F.sum("n").alias("n")).collect()
-    shapes: dict[str, Counter] = {}
-    chain, repeat = np.zeros((N, N)), np.zeros((N, N))
-    for r in sorted(counts):
-        if r.s in ("\1", "\2"):
-            (chain if r.s == "\1" else repeat)[r.a, r.b] += r.n
-        else:
-            shapes.setdefault(r.s, Counter())[r.a] += r.n
-    return SkipChain(shapes, chain, repeat)
+        counts: Counter = Counter()
+        for batch in batches:
+            counts += count_configurations(batch.column(0).to_pylist())
+        rows = [(*r, n) for r, n in counts.items()]
+        yield pa.record_batch({"s": pa.array([r[0] for r in rows], pa.string()), **{c: pa.array([r[i + 1] for r in rows], pa.int64()) for i, c in enumerate(("l", "r", "m", "k", "n"))}})
+
+    sums = docs.select("text").mapInArrow(run, "s string, l long, r long, m long, k long, n long").groupBy("s", "l", "r", "m", "k").agg(F.sum("n").alias("n")).collect()
+    return fit_potentials(Counter({(x.s, x.l, x.r, x.m, x.k): x.n for x in sums}))
 
 
 def text_of(spans: list[Span]) -> str:

@@ -1,9 +1,14 @@
 """Base spans against patterns written out again, and what the field adds."""
 
 import hashlib
+import itertools
+import random
 import re
+import time
+from collections import Counter
 
-from filigree.llm.pii import KINDS, base_spans, find_personal_data, fit, redact
+import numpy as np
+from filigree.llm.pii import KINDS, N, SkipChain, base_spans, candidates, clamp, find_personal_data, fit, fit_potentials, redact, shape
 
 from .corpus import SCHEMA, documents, pairs
 
@@ -94,3 +99,73 @@ def test_every_repeat_shares_the_label(spark):
         assert not missing, (d, text[:80], got[d].spans[:200])
         assert len(got[d].spans.split(",")) == len(set(got[d].base_spans.split(",")) | set(want))
     assert all(got[9000 + i].spans == got[9000 + i].base_spans for i in range(5))
+
+
+def test_patterns_on_random_and_very_long_runs():
+    r = random.Random(5)
+    for _ in range(3000):
+        t = "".join(r.choice("a1.@-+ 0%9_x2") for _ in range(r.randint(0, 40)))
+        assert base_spans(t) == plain(t), t
+    n = 300_000
+    for t in ("1." + "1" * n, "a" * n + " @", "1.1." * n, "+1" + "(" * n, "a@b." * n, "@a.b" * n, "12 " * n, "a@" * n, "x." * n + "@"):
+        began = time.time()
+        spans = base_spans(t)
+        clamp(candidates(t), spans)
+        assert time.time() - began < 20, t[:8]
+
+
+def test_clamp_against_all_pairs():
+    r = random.Random(6)
+    for _ in range(300):
+        tokens, at = [], 0
+        for i in range(r.randint(0, 12)):
+            at += r.randint(1, 3)
+            tokens.append((i, at, at := at + r.randint(1, 6), "x", i))
+        spans = sorted((s := r.randint(0, 50), r.randrange(4), s + r.randint(1, 9)) for _ in range(r.randint(0, 8)))
+        want = [next((k for s, k, e in spans if s < end and e > start), -1) for _, start, end, _, _ in tokens]
+        assert clamp(tokens, spans) == want
+
+
+def field(seed=3):
+    g = np.random.default_rng(seed)
+    repeat = g.normal(size=(N, N))
+    return SkipChain({}, g.normal(size=N), g.normal(size=(N, N)), repeat + repeat.T, rounds=200, damping=0.5)
+
+
+def enumerated(model, tokens, clamped):
+    """Log marginals by summing over all labels of tokens and hubs."""
+    near, hubs = SkipChain.links(tokens)
+    hubs = [m for m in hubs.values() if len(m) > 1]
+    unary = [model.unary.get(shape(t[3]), model.default) for t in tokens]
+    total = np.zeros((len(tokens), N))
+    for own in itertools.product(range(N), repeat=len(tokens)):
+        if any(k >= 0 and own[i] != k for i, k in enumerate(clamped)):
+            continue
+        score = sum(unary[i][k] for i, k in enumerate(own) if clamped[i] < 0) + sum(model.chain[own[i], own[j]] for i, j in near)
+        weight = np.exp(score)
+        for members in hubs:
+            weight *= sum(np.exp(sum(model.repeat[own[i], h] for i in members)) for h in range(N))
+        for i, k in enumerate(own):
+            total[i, k] += weight
+    return total / total.sum(1, keepdims=True)
+
+
+def test_marginals_against_enumeration():
+    """Exact where the field has no loop: a chain with a clamped token, and repeats around one hub."""
+    chain = [(i, 10 * i, 10 * i + 2, f"1{i}", i) for i in range(5)]
+    star = [(3 * i, 30 * i, 30 * i + 8, "123456-7" if i % 2 else "1234567", 3 * i) for i in range(4)]
+    for tokens, clamped in ((chain, [-1] * 5), (chain, [-1, 2, -1, -1, -1]), (star, [-1] * 4)):
+        model = field()
+        got = np.exp(model.beliefs(tokens, clamped, {}))
+        got /= got.sum(1, keepdims=True)
+        assert np.allclose(got, enumerated(model, tokens, clamped), atol=1e-6)
+
+
+def test_potentials_fit_the_labels():
+    """Of a shape that is a card half the time, repeats of a card are cards, and others are not."""
+    counts = Counter({("16", N, N, 2, 2): 50, ("16", N, N, N - 1, N - 1): 50, ("5", N, N, N, N - 1): 200, ("5", 3, N, N, 3): 30, ("5", N, 3, N, 3): 30})
+    model = fit_potentials(counts)
+    say = lambda *parts: int(np.sum(parts, 0).argmax())
+    assert say(model.unary["16"], model.repeat[2]) == 2 and say(model.unary["16"], model.repeat[N - 1]) == N - 1
+    assert say(model.unary["5"]) == N - 1 and say(model.unary["5"], model.chain[3]) == 3 and say(model.unary["5"], model.chain[:, 3]) == 3
+    assert fit_potentials(Counter()).unary == {}
