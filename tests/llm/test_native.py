@@ -19,6 +19,24 @@ def test_curve_visits_neighbours():
         assert sum(abs(x - y) for x, y in zip(at[i], at[i + 1])) == 1
 
 
+def plain_levels(values, side):
+    """Ranks of the quantiles that each value passes, computed over the sorted values."""
+    have = sorted(v.encode() for v in values if v is not None)
+    cuts = sorted({have[max(0, math.ceil(len(have) * k / (side - 1)) - 1)] for k in range(1, side - 1)}) if have else []
+    return [0 if v is None else 1 + sum(v.encode() > c for c in cuts) for v in values]
+
+
+def plain_places(rows, bits):
+    """Cell of each (doc_id, text, lang, source): that of its group of equal texts."""
+    side = 1 << bits
+    lang, source = (plain_levels([r[k] for r in rows], side) for k in (2, 3))
+    least = {}
+    for r, at in zip(rows, zip(lang, source)):
+        least[r[1] or ""] = min(least.get(r[1] or "", at), at)
+    size = [min(int(math.log2(len((r[1] or "").encode()) + 1) * side / 18), side - 1) for r in rows]
+    return [curve_index([*least[r[1] or ""], z], bits) for r, z in zip(rows, size)]
+
+
 def test_shards_are_even_runs_of_the_curve(spark):
     docs = documents(spark)
     got = hilbert_shards(docs, 7, rows_per_part=5).collect()
@@ -28,11 +46,31 @@ def test_shards_are_even_runs_of_the_curve(spark):
     assert max(counts.values()) - min(counts.values()) <= 1 and sorted(counts) == list(range(7))
     for s in counts:
         assert sorted(r.slot for r in got if r.shard == s) == list(range(counts[s]))
-    order = [r.cell for r in sorted(got, key=lambda r: (r.shard, r.slot))]
-    assert order == sorted(order)
+    sorted_ = sorted(got, key=lambda r: (r.shard, r.slot))
+    assert [r.cell for r in sorted_] == sorted(r.cell for r in got)
     assert {(r.law, r.grown_shard) for r in got} == {("rows", None)}
     assert hilbert_shards(documents(spark, [])).collect() == []
     assert [r.shard for r in hilbert_shards(documents(spark, [(1, "a", "en", "s")]), 16).collect()] == [0]
+    # cells computed again from the rows
+    own = [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()]
+    want = Counter((d, zlib.crc32((t or "").encode()), c) for (d, t, _, _), c in zip(own, plain_places(own, 5)))
+    assert Counter((r.doc_id, r.text_crc32, r.cell) for r in got) == want
+    # a group of equal texts is a run
+    for crc in {r.text_crc32 for r in got}:
+        at = [i for i, r in enumerate(sorted_) if r.text_crc32 == crc]
+        assert at == list(range(at[0], at[0] + len(at)))
+
+
+def test_levels_keep_order_and_tell_usual_values_apart(spark):
+    langs = ["en"] * 60 + ["fr"] * 15 + ["de"] * 15 + ["es"] * 10 + [None] * 5
+    rows = [(i, f"text {i}", langs[i % 105], f"source{i % 20}") for i in range(210)]
+    docs = documents(spark, rows + [(None, None, None, None)] * 3)
+    level = dict(zip(langs, plain_levels([r[2] for r in rows], 32)))
+    assert len({level[x] for x in ("en", "fr", "de", "es", None)}) == 5 and level[None] == 0 < level["de"] < level["en"] < level["es"] < level["fr"]
+    own = [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()]
+    assert len(set(plain_levels([f"source{i % 20}" for i in range(210)], 32))) == 20
+    got = hilbert_shards(docs, 4).collect()
+    assert Counter((r.doc_id, r.cell) for r in got) == Counter((d, c) for (d, _, _, _), c in zip(own, plain_places(own, 5)))
 
 
 def base(text):
