@@ -198,11 +198,33 @@ class EdgeExpr:
         raise TypeError("an EdgeExpr stands for many rows")
 
 
-Predicate = Callable[[Any], Column]
+Predicate = Callable[[Any], Any]
 
 
-def contains(a: Attributes, key: str, member: Any) -> Column:
+def as_column(predicate: Callable, row: NodeExpr | EdgeExpr) -> Column | None:
+    """What the predicate says of all rows at once, or None where it needs real values.
+
+    That is where it asks a Column or a Value for its truth, type or content.
+    Anything else that it raises, such as a name it spells wrongly, is an error.
+    """
+    from .views import EdgeView, NodeView
+
+    try:
+        kept = predicate(row)
+    except AttributeError as e:
+        view = NodeView if isinstance(e.obj, (NodeExpr, EndExpr)) else EdgeView if isinstance(e.obj, EdgeExpr) else None
+        if not (isinstance(e.obj, (Value, Column)) or view and (hasattr(view, e.name) or e.name in ("edges", "inverse_edges", "node"))):
+            raise
+        return None
+    except (TypeError, ValueError):  # PySpark's own is a ValueError
+        return None
+    return kept if isinstance(kept, Column) else None
+
+
+def contains(a: Any, key: str, member: Any) -> Any:
     """Python's ``in``: list membership, substring, or key of a dict; false for anything else."""
+    if not isinstance(a, Attributes):
+        return a.contains(key, member)
     at = a.get(key)
     if not a.dynamic:
         kind = a.type_of(key)
@@ -232,16 +254,25 @@ def attr_contains(key: str, member: Any) -> Predicate:
     return lambda n: contains(n._a, key, member)
 
 
+def _joined(verdicts: list, column: Callable, plain: Callable, empty: bool) -> Any:
+    """Of real rows a bool, of all rows a Column."""
+    return plain(verdicts) if verdicts and all(isinstance(v, bool) for v in verdicts) else reduce(column, verdicts, F.lit(empty))
+
+
 def p_and(*parts: Predicate) -> Predicate:
-    return lambda n: reduce(lambda x, y: x & y, (p(n) for p in parts), F.lit(True))
+    return lambda n: _joined([p(n) for p in parts], lambda x, y: x & y, all, True)
 
 
 def p_or(*parts: Predicate) -> Predicate:
-    return lambda n: reduce(lambda x, y: x | y, (p(n) for p in parts), F.lit(False))
+    return lambda n: _joined([p(n) for p in parts], lambda x, y: x | y, any, False)
 
 
 def p_not(part: Predicate) -> Predicate:
-    return lambda n: ~_sure(part(n))
+    def negated(n: Any) -> Any:
+        verdict = part(n)
+        return not verdict if isinstance(verdict, bool) else ~_sure(verdict)
+
+    return negated
 
 
 def has_all(a: Attributes, wanted: dict[str, Any]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import TYPE_CHECKING, Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,12 +15,36 @@ if TYPE_CHECKING:
     from ..graph import PropertyGraph
 
 
+class Plain:
+    """Attributes of one row, for the predicates that also work on columns."""
+
+    def __init__(self, attrs: dict[str, Any]):
+        self.attrs = attrs
+
+    def equals(self, key: str, value: Any) -> bool:
+        return bool(self.attrs.get(key) == value)
+
+    def has(self, key: str) -> bool:
+        return key in self.attrs
+
+    def contains(self, key: str, member: Any) -> bool:
+        at = self.attrs.get(key)
+        if isinstance(at, str):
+            return isinstance(member, str) and member in at
+        return isinstance(at, (list, tuple, set, dict)) and member in at
+
+
 class NodeView:
     """A node as a predicate sees it, read-only."""
 
     def __init__(self, node_id: str, attrs: dict[str, Any], meta: dict[str, Any], out: list[str], into: list[str]):
         self.id, self.attrs, self.meta = node_id, attrs, meta
         self.edges, self.inverse_edges = out, into
+        self._a = Plain(attrs)
+
+    @property
+    def node(self) -> NodeView:
+        return self
 
     @property
     def type(self) -> Any:
@@ -66,6 +90,7 @@ class EdgeView:
     def __init__(self, edge_id: str | None, src: str, dst: str, attrs: dict[str, Any], ends: tuple[dict[str, Any], dict[str, Any]] = ({}, {})):
         self.id, self.from_id, self.to_id, self.attrs = edge_id, src, dst, attrs
         self.from_node, self.to_node = (NodeView(i, a, {}, [], []) for i, a in zip((src, dst), ends))
+        self._a = Plain(attrs)
 
     @property
     def type(self) -> Any:
@@ -93,31 +118,35 @@ def node_filter(graph: PropertyGraph, predicate: Callable[[NodeView], Any]) -> D
     """Nodes for which ``predicate`` is truthy."""
     lists = [graph.edges.groupBy(F.col(a).alias("id")).agg(F.collect_list(b).alias(n)) for a, b, n in (("src", "dst", "_out"), ("dst", "src", "_in"))]
     rows = graph.nodes.join(lists[0], "id", "left").join(lists[1], "id", "left")
-    has_meta = "meta" in graph.nodes.columns
-    wide = rows.select("id", "attr", "_out", "_in", *(["meta"] if has_meta else []))
+    columns = graph.nodes.columns
+    at = {c: columns.index(c) for c in ("id", "attr", "meta") if c in columns}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            meta = part["meta"] if has_meta else [None] * len(part)
-            listed = lambda x: [] if x is None else list(x)
-            kept = [i for i, a, m, o, n in zip(part["id"], part["attr"], meta, part["_out"], part["_in"]) if predicate(NodeView(i, _attrs(a), _attrs(m), listed(o), listed(n)))]
-            yield pd.DataFrame({"id": pd.Series(kept, dtype=object)})
+            n = len(part)
+            read = lambda c, p=part, n=n: p.column(at[c]).to_pylist() if c in at else [None] * n
+            lists = (part.column(len(columns) + k).to_pylist() for k in (0, 1))
+            kept = [bool(predicate(NodeView(i, _attrs(a), _attrs(m), o or [], x or []))) for i, a, m, o, x in zip(read("id"), read("attr"), read("meta"), *lists)]
+            yield part.select(range(len(columns))).filter(pa.array(kept, pa.bool_()))
 
-    return graph.nodes.join(wide.mapInPandas(run, "id string"), "id", "left_semi")
+    return rows.select(*columns, "_out", "_in").mapInArrow(run, graph.nodes.schema)
 
 
 def edge_filter(graph: PropertyGraph, predicate: Callable[[EdgeView], bool]) -> DataFrame:
     """Edges for which ``predicate`` is True; anything but a bool is an error."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = graph.edges.columns
+    at = [columns.index(c) for c in ("id", "src", "dst", "attr")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            columns = (part[c] for c in ("id", "src", "dst", "attr", "_src_attr", "_dst_attr"))
-            verdicts = [predicate(EdgeView(i, s, d, _attrs(a), (_attrs(x), _attrs(y)))) for i, s, d, a, x, y in zip(*columns)]
+            read = [part.column(k).to_pylist() for k in (*at, len(columns), len(columns) + 1)]
+            verdicts = [predicate(EdgeView(i, s, d, _attrs(a), (_attrs(x), _attrs(y)))) for i, s, d, a, x, y in zip(*read)]
             if any(not isinstance(v, bool) for v in verdicts):
                 raise TypeError("an edge predicate must return a bool")
-            yield pd.DataFrame({"seq": part["seq"][verdicts]})
+            yield part.select(range(len(columns))).filter(pa.array(verdicts, pa.bool_()))
 
-    wide = graph.edges.select("id", "src", "dst", "attr", "seq")
+    wide = graph.edges
     for side in ("src", "dst"):
         wide = wide.join(graph.nodes.select(F.col("id").alias(side), F.col("attr").alias(f"_{side}_attr")), side, "left")
-    return graph.edges.join(wide.mapInPandas(run, "seq long"), "seq", "left_semi").select(graph.edges.columns)
+    return wide.select(*columns, "_src_attr", "_dst_attr").mapInArrow(run, graph.edges.schema)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.expr import EdgeExpr, NodeExpr, feature_name, has_all
+from .functions.expr import EdgeExpr, NodeExpr, as_column, feature_name, has_all
 from .schema import EDGES, NODES, Attributes, decode_attr, encode_map
 
 
@@ -43,7 +44,9 @@ class PropertyGraph:
 
     @classmethod
     def from_records(cls, spark: SparkSession, nodes: list[tuple[str, dict[str, Any] | None]], edges: list[tuple] = (), meta: dict[str, Any] | None = None) -> PropertyGraph:
-        """From (id, attr) and (src, dst, attr[, id]) in insertion order, dynamic layout."""
+        """From (id, attr) and (src, dst, attr[, id]), or Node and Edge, in insertion order, dynamic layout."""
+        nodes = [(n.id, n.attr) if isinstance(n, Node) else n for n in nodes]
+        edges = [(e.src, e.dst, e.attr, e.id) if isinstance(e, Edge) else e for e in edges]
         rows = [(i, encode_map(a), {}) for i, a in nodes]
         links = [(e[3] if len(e) > 3 else None, e[0], e[1], encode_map(e[2] if len(e) > 2 else None), {}, k) for k, e in enumerate(edges)]
         return cls(spark.createDataFrame(rows, NODES), spark.createDataFrame(links, EDGES), meta)
@@ -137,7 +140,8 @@ class PropertyGraph:
 
     def degrees(self) -> DataFrame:
         """id, degree, in_degree (parallel edges count) and neighbors (distinct targets)."""
-        out = self.edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"), F.countDistinct("dst").alias("neighbors"))
+        pairs = self.edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
+        out = pairs.groupBy(F.col("src").alias("id")).agg(F.sum("n").alias("degree"), F.count("*").alias("neighbors"))
         into = self.edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("in_degree"))
         zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
         return self.nodes.select("id").join(out, "id", "left").join(into, "id", "left").select("id", zero("degree"), zero("in_degree"), zero("neighbors"))
@@ -165,11 +169,8 @@ class PropertyGraph:
         if isinstance(predicate, Column):
             return self.nodes.where(F.coalesce(predicate, F.lit(False)))
         n = NodeExpr(Attributes(self.nodes.schema))
-        try:
-            kept = predicate(n)
-        except Exception:
-            kept = None
-        if isinstance(kept, Column):
+        kept = as_column(predicate, n)
+        if kept is not None:
             return self.with_features(n.needs).where(F.coalesce(kept.cast("boolean"), F.lit(False))).select(self.nodes.columns)
         from .functions.views import node_filter
 
@@ -183,12 +184,11 @@ class PropertyGraph:
             return self.edges.where(F.coalesce(wanted, F.lit(False)))
         if isinstance(wanted, dict):
             return self.edges.where(has_all(a, wanted))
+        if isinstance(wanted, tuple):  # criteria, and a callable for the rest
+            return self.replace(edges=self.where_edges(wanted[0])).where_edges(wanted[1])
         e = EdgeExpr(a, self.nodes.schema["attr"].dataType)
-        try:
-            kept = wanted(e)
-        except Exception:
-            kept = None
-        if isinstance(kept, Column):
+        kept = as_column(wanted, e)
+        if kept is not None:
             edges = self.edges
             for side in sorted(e.needs):
                 edges = edges.join(self.nodes.select(F.col("id").alias(side), F.col("attr").alias(f"_{side}_attr")), side, "left")
@@ -278,7 +278,7 @@ def one_filter(wanted: Any, edge_filter: Callable | None) -> Any:
         return edge_filter
     if not isinstance(wanted, dict):
         raise ValueError("give one callable, as filter or as edge_filter")
-    return lambda e: has_all(e._a, wanted) & edge_filter(e)
+    return wanted, edge_filter
 
 
 class NodeRef:
@@ -315,6 +315,38 @@ class NodeRef:
         return self.id
 
 
+@dataclass
+class Node:
+    """A node by itself, to build graphs from."""
+
+    id: str
+    attr: dict[str, Any] = field(default_factory=dict)
+    meta: dict[str, Any] = field(default_factory=dict)
+
+    def to_json(self) -> dict[str, Any]:
+        return {"id": self.id, "attr": dict(self.attr), "meta": dict(self.meta)}
+
+    def __eq__(self, other: Any) -> bool:
+        return isinstance(other, Node) and other.id == self.id
+
+    def __hash__(self) -> int:
+        return hash(self.id)
+
+
+@dataclass
+class Edge:
+    """An edge by itself, to build graphs from."""
+
+    src: str
+    dst: str
+    attr: dict[str, Any] = field(default_factory=dict)
+    id: str | None = None
+    meta: dict[str, Any] = field(default_factory=dict)
+
+    def to_json(self) -> dict[str, Any]:
+        return {"id": self.id, "from_id": self.src, "to_id": self.dst, "attr": dict(self.attr), "meta": dict(self.meta)}
+
+
 class Path:
     """A list of node ids."""
 

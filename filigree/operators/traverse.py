@@ -87,16 +87,29 @@ class _Small:
         return out
 
 
-def _is_small(edges: DataFrame) -> bool:
-    return edges.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES
+def _small(edges: DataFrame) -> _Small | None:
+    """The edges in memory, if there are no more than LOCAL_EDGES."""
+    table = edges.limit(LOCAL_EDGES + 1).toArrow()
+    return _Small(table) if len(table) <= LOCAL_EDGES else None
 
 
-def frontier(starts: DataFrame, edges: DataFrame, depth: int | None, ordered: bool = False, target: str | None = None) -> DataFrame:
-    """Visited nodes level by level: id, depth, and with ``ordered`` rank and parent of the first discoverer."""
+#: From so many levels on, the narrowed edges are kept between levels; a few are cheaper to read again.
+KEEP_LEVELS = 4
+
+
+def frontier(starts: DataFrame, edges: DataFrame, depth: int | None, ordered: bool = False, target: str | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """Visited nodes level by level: id, depth, and with ``ordered`` rank and parent of the first discoverer.
+
+    With ``nodes``, what a level meets is held against them, which costs a
+    level's size; without, all targets are taken to be nodes.
+    """
+    inside = (lambda df: nodes.select("id").join(df, "id")) if nodes is not None else lambda df: df
     level = keep(starts.select("id", F.lit(0).cast("long").alias("depth"), *([F.col("rank"), F.lit(None).cast("string").alias("parent")] if ordered else [])), "level0")
     visited, levels, d = level, [level], 0
-    if depth != 0:
-        edges = edges.select("src", "dst", *(["seq"] if ordered else [])).persist()
+    edges = edges.select("src", "dst", *(["seq"] if ordered else []))
+    long = depth is None or depth >= KEEP_LEVELS
+    if long:
+        edges = edges.persist()
     base = level.count() if ordered else 0
     while depth is None or d < depth:
         if target is not None and not visited.where(F.col("id") == target).isEmpty():
@@ -105,12 +118,14 @@ def frontier(starts: DataFrame, edges: DataFrame, depth: int | None, ordered: bo
         met = level.select(F.col("id").alias("src"), *([F.col("rank").alias("from_rank")] if ordered else [])).join(edges, "src")
         if ordered:
             first = met.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("from_rank", "seq", "src")).alias("by"))
-            fresh = first.join(visited.select("id"), "id", "left_anti")
+            fresh = inside(first.join(visited.select("id"), "id", "left_anti"))
             # a level's order is global, so it is numbered in one task; ordered traversals are for results that fit one
             rank = F.row_number().over(Window.orderBy("by.from_rank", "by.seq")) - 1 + base
             fresh = fresh.select("id", F.lit(d).cast("long").alias("depth"), rank.cast("long").alias("rank"), F.col("by.src").alias("parent"))
         else:
-            fresh = met.select(F.col("dst").alias("id")).distinct().join(visited.select("id"), "id", "left_anti").select("id", F.lit(d).cast("long").alias("depth"))
+            fresh = inside(met.select(F.col("dst").alias("id")).distinct().join(visited.select("id"), "id", "left_anti")).select("id", F.lit(d).cast("long").alias("depth"))
+        if d == depth and not ordered:  # nothing follows, so nothing waits for it
+            return visited.unionByName(fresh)
         level = keep(fresh, f"level{d}")
         n = level.count()
         if not n:
@@ -123,20 +138,24 @@ def frontier(starts: DataFrame, edges: DataFrame, depth: int | None, ordered: bo
             for x in old[:-1]:
                 forget(x)
             levels = [visited, level]
-    edges.unpersist()
+    if long:
+        edges.unpersist()
     return visited
 
 
 def visit(graph: PropertyGraph, starts: list[str] | DataFrame, depth: int | None, wanted: Any = None, ordered: bool = False, target: str | None = None) -> DataFrame:
     """(id, depth, rank, parent) of the nodes reached from ``starts``."""
     spark = graph.spark
-    edges = _narrow(graph, wanted)
-    short = depth is not None and depth <= 3 and not ordered
-    if isinstance(starts, list) and not short and _is_small(edges):
-        return spark.createDataFrame(_Small(edges.toArrow()).bfs(starts, depth, target), VISITED)
-    if isinstance(starts, list):
-        starts = spark.createDataFrame([(s, i) for i, s in enumerate(starts)], "id string, rank long")
-    out = frontier(starts, edges, depth, ordered, target)
+    short = depth is not None and depth < KEEP_LEVELS and not ordered
+    if isinstance(starts, list) and not short and (small := _small(_narrow(graph, wanted))):
+        out = spark.createDataFrame(small.bfs(starts, depth, target), VISITED)
+    else:
+        if isinstance(starts, list):
+            starts = spark.createDataFrame([(s, i) for i, s in enumerate(starts)], "id string, rank long")
+        if short:
+            out = frontier(starts, graph.where_edges(wanted), depth, ordered, target, graph.nodes)
+        else:
+            out = frontier(starts, _narrow(graph, wanted), depth, ordered, target)
     return out if ordered else out.select("id", "depth", F.lit(None).cast("long").alias("rank"), F.lit(None).cast("string").alias("parent"))
 
 
@@ -168,8 +187,8 @@ def dfs(graph: PropertyGraph, start: str, depth: int | None = None, wanted: Any
     """
     _known(graph, start)
     edges = _narrow(graph, wanted)
-    if _is_small(edges):
-        return _result(graph, graph.spark.createDataFrame(_Small(edges.toArrow()).dfs(start, depth), VISITED))
+    if small := _small(edges):
+        return _result(graph, graph.spark.createDataFrame(small.dfs(start, depth), VISITED))
     reach = keep(frontier(graph.spark.createDataFrame([(start,)], "id string"), edges, depth), "reach")
     inner = edges.join(reach.select(F.col("id").alias("src")), "src", "left_semi").join(reach.select(F.col("id").alias("dst")), "dst", "left_semi")
 
@@ -194,8 +213,8 @@ def path_ids(graph: PropertyGraph, root: str, target: str, max_depth: int | None
     """Node ids of the shortest path that is found first."""
     _known(graph, root, target)
     edges = _narrow(graph, None)
-    if _is_small(edges):
-        by = {r[0]: r[3] for r in _Small(edges.toArrow()).bfs([root], max_depth, target)}
+    if small := _small(edges):
+        by = {r[0]: r[3] for r in small.bfs([root], max_depth, target)}
         parent = by.get
     else:
         start = graph.spark.createDataFrame([(root, 0)], "id string, rank long")
@@ -227,7 +246,7 @@ def shortest_path(graph: PropertyGraph, root: str, target: str, max_depth: int |
 def expand(sub: PropertyGraph, source: PropertyGraph, depth: int = 1) -> PropertyGraph:
     """Induced subgraph of ``source`` on what its out-edges reach from the nodes of ``sub`` in ``depth`` hops."""
     seeds = sub.nodes.select("id").join(source.nodes.select("id"), "id", "left_semi")
-    reached = frontier(seeds, _narrow(source, None), depth)
+    reached = frontier(seeds, source.edges if depth < KEEP_LEVELS else _narrow(source, None), depth, nodes=source.nodes if depth < KEEP_LEVELS else None)
     return PropertyGraph(source.nodes, source.edges, {}, source.handlers).induced(reached)
 
 

@@ -76,9 +76,11 @@ def _together(graph: PropertyGraph, lists: DataFrame, start: str | None, max_len
     spark = graph.spark
     begin = spark.range(attempts).select(F.col("id").alias("attempt"))
     if start is None:
-        n = graph.nodes.count()
-        numbered = graph.nodes.select("id", (F.row_number().over(Window.orderBy(F.xxhash64("id", F.lit(seed)), "id")) - 1).alias("k"))
-        walks = begin.withColumn("k", F.col("attempt") % n).join(numbered, "k").select("attempt", F.array("id").alias("path"), F.array().cast("array<string>").alias("types"))
+        # no node has been visited yet: those of least hash, as many as there are walks, and round again
+        by_hash = [F.xxhash64("id", F.lit(seed)), F.col("id")]
+        first = graph.nodes.select("id").orderBy(*by_hash).limit(attempts)
+        numbered = keep(first.select("id", (F.row_number().over(Window.orderBy(*by_hash)) - 1).alias("k")), "starts")  # a row a walk at most
+        walks = begin.withColumn("k", F.col("attempt") % numbered.count()).join(numbered, "k").select("attempt", F.array("id").alias("path"), F.array().cast("array<string>").alias("types"))
     else:
         walks = begin.select("attempt", F.array(F.lit(start)).alias("path"), F.array().cast("array<string>").alias("types"))
     walks = walks.withColumn("open", F.lit(True))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import attr_contains, attr_equals, p_and, p_not, p_or
-from ..graph import PropertyGraph
+from ..graph import PropertyGraph, one_filter
 from ..operators import embed, mutate, traverse
 from ..operators.walks import random_walks
 from ..schema import Attributes
@@ -40,7 +41,8 @@ def _edges(reverse: bool = False) -> str:
     parts = []
     for k, (table, a, src, b, dst, forth, back) in enumerate(_PAIRS):
         own = "l_quantity AS quantity, l_extendedprice AS price" if forth == "contains" else "NULL::DOUBLE AS quantity, NULL::DOUBLE AS price"
-        place = f"({src}::BIGINT * 1000003 + {dst}::BIGINT) * 16 + {k * 2}"
+        among = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)" if table == "lineitem" else "0"
+        place = f"({star_schema.PLACED_BY.get(table, src)}::BIGINT * 4096 + {among}) * 16 + {k * 2}"
         parts.append(f"SELECT '{a}' || {src} AS src, '{b}' || {dst} AS dst, '{forth}' AS type, {own}, {place} AS seq FROM {table}")
         if reverse:
             parts.append(f"SELECT '{b}' || {dst}, '{a}' || {src}, '{back}', {own}, {place} + 1 FROM {table}")
@@ -78,14 +80,14 @@ def graph_metadata(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_GRAPH} SELECT id, type, segment, balance FROM nodes WHERE id = 'c7'")
 def node_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return star_schema.commerce(spark, d).nodes.where("id = 'c7'").select("id", "attr.type", "attr.segment", "attr.balance")
+    node = star_schema.commerce(spark, d).get_node("c7")
+    return spark.createDataFrame([(node["id"], *(node["attr"][k] for k in ("type", "segment", "balance")))], "id string, type string, segment string, balance double")
 
 
 @query(f"{_GRAPH} SELECT q.id, EXISTS (SELECT 1 FROM nodes n WHERE n.id = q.id) AS present FROM (VALUES ('c1'), ('zz'), ('p3')) q(id)")
 def has_node(spark: SparkSession, d: str) -> DataFrame:
     g = star_schema.commerce(spark, d)
-    asked = spark.createDataFrame([("c1",), ("zz",), ("p3",)], "id string")
-    return asked.join(g.nodes.where(F.col("id").isin("c1", "zz", "p3")).select("id", F.lit(True).alias("p")), "id", "left").select("id", F.coalesce("p", F.lit(False)).alias("present"))
+    return spark.createDataFrame([(i, g.has_node(i)) for i in ("c1", "zz", "p3")], "id string, present boolean")
 
 
 @query(f"{_GRAPH} SELECT id FROM nodes")
@@ -194,6 +196,63 @@ def edge_ends_filter(spark: SparkSession, d: str) -> DataFrame:
     return g.where_edges(lambda e: (e.type == "placed") & (e.from_node.attr("segment") == "BUILDING") & (e.to_node.attr("status") != "F")).select("src", "dst")
 
 
+@query(f"{_GRAPH} SELECT src, dst, quantity FROM edges WHERE type = 'contains' AND quantity > 45 AND substr(dst, -1) = '7'")
+def edge_python_filter(spark: SparkSession, d: str) -> DataFrame:
+    """A predicate that needs real values: an edge at a time, in Arrow batches."""
+    g = star_schema.commerce(spark, d)
+    return g.where_edges(lambda e: e.type == "contains" and e.attr("quantity", 0) > 45 and e.to_id[-1] == "7").select("src", "dst", "attr.quantity")
+
+
+@query(f"{_GRAPH} SELECT src, dst, quantity FROM edges WHERE type = 'contains' AND quantity = 9 AND NOT (contains(dst, '3'))")
+def edge_dict_and_python(spark: SparkSession, d: str) -> DataFrame:
+    """Criteria as a plan, and a callable for the edges that meet them."""
+    g = star_schema.commerce(spark, d)
+    return g.where_edges(one_filter({"type": "contains", "quantity": 9}, lambda e: "3" not in e.to_id)).select("src", "dst", "attr.quantity")
+
+
+@query(f"{_GRAPH} SELECT id FROM nodes n WHERE type = 'customer' AND segment = 'BUILDING' AND NOT contains(name, '7') AND (SELECT count(*) FROM edges WHERE src = n.id) > 3")
+def filter_predicates_in_python(spark: SparkSession, d: str) -> DataFrame:
+    """Ready predicates called on real nodes inside a lambda."""
+    building = p_and(attr_equals("segment", "BUILDING"), p_not(attr_contains("name", "7")))
+    return star_schema.commerce(spark, d).filter(lambda n: n.type == "customer" and building(n) and len(n.edges) > 3).keys()
+
+
+@query(f"{_GRAPH} SELECT id, type FROM nodes WHERE id = 'c7'")
+def filter_id(spark: SparkSession, d: str) -> DataFrame:
+    return star_schema.commerce(spark, d).filter(id="c7").nodes.select("id", "attr.type")
+
+
+@query("SELECT * FROM (VALUES ('o5', 0::BIGINT, 'order'), ('c1', 1, 'customer'), ('r2', 2, 'region')) t(id, rank, type)")
+def from_nodes_ranked(spark: SparkSession, d: str) -> DataFrame:
+    return star_schema.commerce(spark, d).from_nodes(["o5", "c1", "o5", "r2"], ranked=True).nodes.select("id", "rank", "attr.type")
+
+
+@query("SELECT 0::BIGINT AS node_count, 0::BIGINT AS edge_count, 0.0::DOUBLE AS average_degree")
+def empty_graph(spark: SparkSession, d: str) -> DataFrame:
+    return PropertyGraph.empty(spark).metadata()
+
+
+@query("SELECT message FROM (VALUES ('From node with id ''zz'' not found'), ('Node with id ''c1'' already exists'), ('Node with id ''zz'' not found'), ('To node with id ''zz'' not found')) t(message)")
+def reference_errors(spark: SparkSession, d: str) -> DataFrame:
+    """What is said of edges without nodes, nodes that are there already and unknown ids."""
+    g = star_schema.commerce(spark, d)
+    edge = lambda src, dst: g.replace(edges=g.edges.limit(1).withColumns({"src": F.lit(src), "dst": F.lit(dst)}))
+    calls = [lambda: edge("zz", "c1").validate(), lambda: edge("c1", "zz").validate(), lambda: g.filter(ids=["c1", "zz"]), lambda: mutate.add_nodes(g, g.nodes.where("id = 'c1'"))]
+    said = []
+    for call in calls:
+        try:
+            call()
+        except ValueError as e:
+            said.append((str(e),))
+    return spark.createDataFrame(said, "message string")
+
+
+@query(f"{_GRAPH} SELECT id, type FROM nodes WHERE type IN ('nation', 'region')")
+def node_iteration(spark: SparkSession, d: str) -> DataFrame:
+    g = star_schema.commerce(spark, d).filter(lambda n: n.type.isin("nation", "region"))
+    return spark.createDataFrame([(n["id"], n["attr"]["type"]) for n in g], "id string, type string")
+
+
 # Traversals
 
 
@@ -238,9 +297,12 @@ def bfs_ordered(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_reach('c7', 3)} SELECT t.id AS target, EXISTS (SELECT 1 FROM reach r WHERE r.id = t.id) AS found FROM (VALUES ('r0'), ('r1'), ('r2'), ('r3'), ('r4'), ('c7'), ('s1')) t(id)")
 def bfs_search_targets(spark: SparkSession, d: str) -> DataFrame:
-    reach = _start(star_schema.commerce(spark, d), "c7", 3)
-    targets = spark.createDataFrame([(x,) for x in ("r0", "r1", "r2", "r3", "r4", "c7", "s1")], "target string")
-    return targets.join(reach.select(F.col("id").alias("target"), F.lit(True).alias("f")), "target", "left").select("target", F.coalesce("f", F.lit(False)).alias("found"))
+    g = star_schema.commerce(spark, d)
+    rows = []
+    for target in ("r0", "r1", "r2", "r3", "r4", "c7", "s1"):
+        found = g.bfs_search("c7", target, 3)
+        rows.append((target, found is not None and found["id"] == target))
+    return spark.createDataFrame(rows, "target string, found boolean")
 
 
 _CHAIN = "WITH RECURSIVE edges AS (SELECT 'e' || event_id AS src, 'e' || lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS dst FROM events QUALIFY dst IS NOT NULL)"
@@ -315,9 +377,40 @@ def random_walks_uniform(spark: SparkSession, d: str) -> DataFrame:
     return walks.select(F.array_join("walk", ",").alias("walk"))
 
 
-@query()
+@query(
+    f"""{_GRAPH}, adj AS (SELECT src, list((dst, type) ORDER BY seq) AS out FROM edges GROUP BY src), t AS (SELECT range AS a FROM range(50)),
+s1 AS (SELECT a, x.out[{_STEP.format(k=1, o='x.out')}] AS v1 FROM t JOIN adj x ON x.src = 'c7'),
+s2 AS (SELECT a, v1, y.out[{_STEP.format(k=2, o='y.out')}] AS v2 FROM s1 LEFT JOIN adj y ON y.src = v1[1])
+SELECT DISTINCT 'c7,' || v1[2] || ',' || v1[1] || coalesce(',' || v2[2] || ',' || v2[1], '') AS walk FROM s2"""
+)
 def random_walks_edge_types(spark: SparkSession, d: str) -> DataFrame:
-    return random_walks(star_schema.commerce(spark, d), "c7", 4, 50, min_length=2, include_edge_types=True).select("attempt", F.array_join("walk", ",").alias("walk"))
+    walks = random_walks(star_schema.commerce(spark, d), "c7", 3, 50, seed=3, allow_revisit=True, include_edge_types=True)
+    return walks.select(F.array_join("walk", ",").alias("walk"))
+
+
+@query("SELECT DISTINCT 'u' || user_id AS start FROM events")
+def random_walks_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Visit-balanced walks of one node begin at every node once there are as many walks."""
+    g = star_schema.event_users(spark, d)
+    return random_walks(g, None, 1, 3 * g.node_count(), stratified=True, mode="batched").select(F.col("path")[0].alias("start")).distinct()
+
+
+_DRAW = "('0x' || substr(md5('0:' || a || ':0'), 1, 13))::BIGINT / 4503599627370496.0"
+
+
+@query(
+    f"""{_USERS}, names AS (SELECT list(id ORDER BY id) AS ids, count(*) AS n FROM (SELECT DISTINCT 'u' || user_id AS id FROM events)),
+w AS (SELECT 0 AS a, list_transform(ids, lambda x: 0) AS visits, CAST(NULL AS VARCHAR) AS start FROM names
+  UNION ALL
+  SELECT a + 1, list_transform(visits, lambda v, i: CASE WHEN i = spot THEN v + 1 ELSE v END), ids[spot] FROM (
+    SELECT a, visits, ids, list_position(list_transform(cum, lambda c: {_DRAW} * cum[n] < c), true) AS spot FROM (
+      SELECT a, visits, ids, n, list_transform(range(1, n + 1), lambda i: list_sum(list_transform(visits[1:i], lambda v: 1.0 / (1 + v)))) AS cum FROM w, names WHERE a < 40)))
+SELECT DISTINCT start FROM w WHERE start IS NOT NULL"""
+)
+def random_walks_weighted_starts(spark: SparkSession, d: str) -> DataFrame:
+    """Exact balanced walks of one node: SQL draws each start again, with weight 1 / (1 + visits)."""
+    walks = random_walks(star_schema.event_users(spark, d), None, 1, 40, stratified=True)
+    return walks.select(F.col("path")[0].alias("start"))
 
 
 @query()
@@ -367,6 +460,38 @@ def observed_changes(spark: SparkSession, d: str) -> DataFrame:
     return mutate.observed_changes(events, "user_id", "key", "event_type", "event_id").select("user_id", "new", "old", "event_id")
 
 
+@query(f"{_GRAPH} SELECT src, dst, 'quantity' AS name, quantity + 1 AS new, quantity AS old FROM edges WHERE type = 'contains' AND quantity < 3")
+def edge_update_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Edges by their place; the feed has their old values."""
+    g = star_schema.commerce(spark, d)
+    few = g.edges.where("attr.type = 'contains' and attr.quantity < 4")
+    changes = few.select("seq", F.lit("quantity").alias("name"), F.when(F.col("attr.quantity") < 3, F.col("attr.quantity") + 1).otherwise(F.col("attr.quantity")).alias("value"), F.lit(0).cast("long").alias("at"))
+    out, feed = mutate.update_edges(g, changes)
+    return feed.join(out.edges.select("seq", "src", "dst"), "seq").select("src", "dst", "name", "new", "old")
+
+
+@query(
+    """SELECT * FROM (SELECT 'node_add' AS kind, count(*) AS n FROM supplier UNION ALL SELECT 'edge_add', count(*) FROM supplier UNION ALL SELECT 'node_update', count(*) FROM supplier WHERE s_acctbal < 0
+UNION ALL SELECT 'edge_update', count(*) FROM lineitem WHERE l_quantity = 1)"""
+)
+def handler_feeds(spark: SparkSession, d: str) -> DataFrame:
+    """Every chain of handlers gets its change; one that returns False stops those after it."""
+    g = star_schema.commerce(spark, d)
+    got: list[tuple[str, int]] = []
+    for kind in ("node_add", "edge_add", "node_update", "edge_update"):
+        chain = getattr(g.handlers, kind)
+        chain.append(lambda graph, delta, kind=kind: got.append((kind, delta.count())) or False)
+        chain.append(lambda graph, delta: got.append(("never", 1)))
+    suppliers = g.nodes.where("attr.type = 'supplier'")
+    more = mutate.add_nodes(g, suppliers.withColumn("id", F.concat(F.lit("depot-"), "id")))
+    edge = F.from_json(F.lit('{"type": "runs"}'), star_schema.EDGE_ATTR).alias("attr")
+    more = mutate.add_edges(more, suppliers.select(F.lit(None).cast("string").alias("id"), F.col("id").alias("src"), F.concat(F.lit("depot-"), "id").alias("dst"), edge))
+    one = F.lit(0).cast("long").alias("at")
+    mutate.update_nodes(g, suppliers.select("id", F.lit("balance").alias("name"), F.greatest("attr.balance", F.lit(0.0)).alias("value"), one))
+    mutate.update_edges(g, g.edges.where("attr.quantity = 1").select("seq", F.lit("quantity").alias("name"), F.lit(2.0).alias("value"), one))
+    return spark.createDataFrame(got, "kind string, n long")
+
+
 # Embeddings
 
 
@@ -403,14 +528,55 @@ def parquet_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return columnar.load_parquet(spark, path).edges.groupBy("src", "dst", "attr.type").agg(F.count("*").alias("n"))
 
 
-@query()
+_ULP = "(2.0 ** (floor(log2(p_retailprice)) - 10))"
+
+
+@query(f"SELECT 'p' || p_partkey AS id, round_even(p_retailprice / {_ULP}, 0) * {_ULP} AS price, p_size AS size FROM part")
 def f16_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Prices with eleven significant bits, ties to even; sizes are integers and stay."""
     path = f"{shared_folder(spark)}/filigree-half-{d.strip('/').replace('/', '-').replace(':', '')}"
     g = star_schema.commerce(spark, d).filter(type="part")
     columnar.save_parquet_f16(g, path)
     return columnar.load_parquet(spark, path).nodes.select("id", "attr.price", "attr.size")
 
 
+@query(
+    """SELECT 'n' || n_nationkey AS id, n_name AS name, n_nationkey AS number, n_nationkey / 2.0 AS share, n_nationkey % 2 = 0 AS even, 'nation,area' AS labels, len(n_name) AS parts, 'r' || n_regionkey AS region FROM nation
+UNION ALL SELECT 'r' || r_regionkey, r_name, NULL, NULL, NULL, 'region', NULL, NULL FROM region"""
+)
+def lgf_files(spark: SparkSession, d: str) -> DataFrame:
+    """Nations in a file that imports another with the regions: labels given twice, scalars, lists, comments, inverse edges."""
+    path = f"{shared_folder(spark)}/filigree-lgf-{uuid.uuid4().hex}"
+    nations = star_schema._table(spark, d, "nation").orderBy("n_nationkey").collect()  # 25 rows
+    regions = star_schema._table(spark, d, "region").orderBy("r_regionkey").collect()
+    text = ['import("more/regions.lgf")', "# nations"]
+    for n in nations:
+        letters = ", ".join(f'"{c}"' for c in n.n_name)
+        text += [f"n{n.n_nationkey} nation", f'    name = "{n.n_name}"', f"    number = {n.n_nationkey}", f"    share = {n.n_nationkey / 2}", f"    even = {str(n.n_nationkey % 2 == 0).lower()}"]
+        text += ["    parts = [", f"        {letters}", "    ]", f"    <-holds- r{n.n_regionkey}", f"n{n.n_nationkey} area nation"]
+    other = [x for r in regions for x in (f"r{r.r_regionkey} region", f'    name = "{r.r_name}"')]
+    for name, lines in (("main.lgf", text), ("more/regions.lgf", other)):
+        _write_text(spark, f"{path}/{name}", "\n".join(lines) + "\n")
+    g = lgf.read_lgf(spark, f"{path}/main.lgf")
+    value = lambda k, field: F.try_element_at("attr", F.lit(k))[field]
+    listed = lambda k: F.from_json(value(k, "j"), "array<string>")
+    region = g.edges.select(F.col("dst").alias("id"), F.col("src").alias("region"))
+    return g.nodes.join(region, "id", "left").select(
+        "id", value("name", "s").alias("name"), value("number", "i").cast("int").alias("number"), value("share", "d").alias("share"), value("even", "b").alias("even"), F.array_join(listed("labels"), ",").alias("labels"), F.when(value("parts", "j").isNotNull(), F.size(listed("parts"))).cast("long").alias("parts"), "region"
+    )
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in the shared folder, through Spark's file systems."""
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(context._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 _LGF = """
 alice person admin
     age = 31

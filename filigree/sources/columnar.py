@@ -40,38 +40,57 @@ def half(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(rounded).where(v.notna().to_numpy(), None)
 
 
+def _rounded(x: object) -> object:
+    """A JSON value with its floats in half precision."""
+    if isinstance(x, float):
+        with np.errstate(over="ignore"):
+            return float(np.float16(x))
+    if isinstance(x, list):
+        return [_rounded(v) for v in x]
+    if isinstance(x, dict):
+        return {k: _rounded(v) for k, v in x.items()}
+    return x
+
+
+def _text(x: str | None) -> str | None:
+    return None if x is None else json.dumps(_rounded(json.loads(x)), ensure_ascii=False)
+
+
 @F.pandas_udf(T.StringType())
 def half_json(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """JSON of lists and dicts with its floats rounded."""
+    for v in values:
+        yield v.map(_text)
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def halves(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Arrays of doubles rounded to half precision; nulls stay."""
+    for v in values:
+        yield v.map(lambda xs: None if xs is None else [None if x is None or x != x else _rounded(float(x)) for x in xs])
 
-    def round_(x: object) -> object:
-        if isinstance(x, float):
-            with np.errstate(over="ignore"):
-                return float(np.float16(x))
-        if isinstance(x, list):
-            return [round_(v) for v in x]
-        if isinstance(x, dict):
-            return {k: round_(v) for k, v in x.items()}
-        return x
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def halves_json(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Arrays of JSON texts with their floats rounded; nulls stay."""
     for v in values:
-        yield v.map(lambda x: None if x is None else json.dumps(round_(json.loads(x)), ensure_ascii=False))
+        yield v.map(lambda xs: None if xs is None else [_text(x) for x in xs])
 
 
 def _halved(table: DataFrame, column: str) -> DataFrame:
     """Every float of an attribute column in half precision; integers and text stay."""
     kind = table.schema[column].dataType
     if isinstance(kind, T.MapType):
-        keys = [c for c in table.columns if c != column]
-        # one row an entry goes through the UDF; rows come together again under a key of their own
-        rows = table.withColumn("_row", F.monotonically_increasing_id())
-        flat = rows.select("_row", F.explode(column).alias("k", "v"))
-        value = F.struct(
-            F.when(F.col("v.t") == "Float", "Half").otherwise(F.col("v.t")).alias("t"), F.col("v.s").alias("s"), F.col("v.i").alias("i"), half(F.col("v.d")).alias("d"), F.col("v.b").alias("b"), half_json(F.col("v.j")).alias("j")
+        # the values of a row go through the UDFs as arrays, so a row stays one
+        values = F.map_values(column)
+        parts = F.arrays_zip(values.alias("v"), halves(F.transform(values, lambda v: v["d"])).alias("d"), halves_json(F.transform(values, lambda v: v["j"])).alias("j"))
+        made = F.transform(
+            parts,
+            lambda x: F.struct(
+                F.when(x["v"]["t"] == "Float", "Half").otherwise(x["v"]["t"]).alias("t"), x["v"]["s"].alias("s"), x["v"]["i"].alias("i"), x["d"].alias("d"), x["v"]["b"].alias("b"), x["j"].alias("j")
+            ),
         )
-        maps = flat.select("_row", "k", value.alias("v")).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias(column))
-        empty = F.create_map().cast(kind)
-        return rows.select("_row", *keys).join(maps, "_row", "left").withColumn(column, F.coalesce(column, empty)).select(table.columns)
+        return table.withColumn(column, F.when(F.col(column).isNotNull(), F.map_from_arrays(F.map_keys(column), made)))
 
     def field(at: Column, t: T.DataType) -> Column:
         if isinstance(t, (T.DoubleType, T.FloatType)):

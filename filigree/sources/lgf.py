@@ -16,6 +16,7 @@ folder are parsed side by side on the executors.
 from __future__ import annotations
 
 import os
+import posixpath
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -201,9 +202,36 @@ def _merged(rows: DataFrame) -> DataFrame:
     return once.unionByName(joined).withColumn("meta", F.create_map().cast(NODES["meta"].dataType))
 
 
+def _with_imports(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """The files and those that their import lines name, relative to the file itself, each once."""
+    line = F.explode(F.filter(F.split("value", "\r?\n"), lambda x: x.startswith("import")))
+    known = {r.file for r in files.select("file").collect()}  # names, not texts
+    now = files
+    while True:
+        wanted = set()
+        for r in now.select("file", line.alias("line")).collect():
+            if m := _IMPORT.match(r.line):
+                wanted.add(_beside(r.file, m[1].strip().strip("\"'")))
+        fresh = sorted(wanted - known)
+        if not fresh:
+            return files
+        now = spark.read.text(fresh, wholetext=True).select(F.input_file_name().alias("file"), "value")
+        files = files.unionAll(now)
+        known |= set(fresh)
+
+
+def _beside(file: str, name: str) -> str:
+    """The URI of ``name`` as the file at a URI means it."""
+    if "://" in name:
+        return name
+    scheme, _, path = file.partition("://") if "://" in file else ("", "", file)
+    full = posixpath.normpath(posixpath.join(posixpath.dirname(path), name))
+    return f"{scheme}://{full}" if scheme else full
+
+
 def read_lgf(spark: SparkSession, path: str) -> PropertyGraph:
-    """All files of a path or pattern, each parsed by one task, files ordered by name; imports are not followed."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    """All files of a path or pattern and those they import, each parsed by one task, files ordered by name."""
+    files = _with_imports(spark, spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value"))
     schema = f"kind string, id string, dst string, file string, at long, attr {NODES['attr'].dataType.simpleString()}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

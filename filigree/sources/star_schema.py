@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph
@@ -14,6 +14,10 @@ NODE_ATTR = "struct<type:string,name:string,segment:string,status:string,balance
 EDGE_ATTR = "struct<type:string,quantity:double,price:double>"
 
 
+#: The key that an edge of the table is placed by; no other row has it, but lines of one order, which are numbered.
+PLACED_BY = {"lineitem": "l_orderkey", "orders": "o_orderkey"}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -51,8 +55,9 @@ def commerce(spark: SparkSession, sf_dir: str, reverse: bool = False) -> Propert
     for k, (name, a, src, b, dst, forth, back) in enumerate(pairs):
         own = {"quantity": F.col("l_quantity"), "price": F.col("l_extendedprice")} if forth == "contains" else {}
         rows = t[name]
-        # an order that follows from the data, so that it is the same in every run and in SQL
-        place = (F.col(src).cast("long") * 1_000_003 + F.col(dst).cast("long")) * 16 + k * 2
+        # an order that follows from the data, so that it is the same in every run and in SQL, and no two edges share a place
+        among = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")) if name == "lineitem" else F.lit(0)
+        place = (F.col(PLACED_BY.get(name, src)).cast("long") * 4096 + among) * 16 + k * 2
         for r in range(1 + reverse):
             ends = (key(b, dst), key(a, src)) if r else (key(a, src), key(b, dst))
             kind = back if r else forth
@@ -62,8 +67,6 @@ def commerce(spark: SparkSession, sf_dir: str, reverse: bool = False) -> Propert
 
 def event_users(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """User to the user of the next event: a cyclic multigraph."""
-    from pyspark.sql import Window
-
     e = _table(spark, sf_dir, "events")
     # numbered by buckets of ids, so that no task orders all events
     bucket = F.floor(F.col("event_id") / 10_000)
@@ -78,8 +81,6 @@ def event_users(spark: SparkSession, sf_dir: str) -> PropertyGraph:
 
 def event_chain(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Each user's events, one after the other: long paths."""
-    from pyspark.sql import Window
-
     e = _table(spark, sf_dir, "events")
     nxt = F.lead("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
     edges = e.select("event_id", "event_type", nxt.alias("nxt")).where("nxt is not null").select(F.lit(None).cast("string").alias("id"), key("e", "event_id").alias("src"), key("e", "nxt").alias("dst"), _attr(EDGE_ATTR, type="next"), F.col("event_id").alias("seq"))
