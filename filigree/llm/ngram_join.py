@@ -8,7 +8,7 @@ Jaccard similarity is at least 4/5 (``100 * both >= 80 * either``).
   partner of given size must share is enumerated.  Sets with a subset in
   common are linked by construction, so a star per subset suffices.
 * Heavy sets: inverted lists over the sets' prefixes in one global order;
-  lists known to be long are scanned in parts of about ``LIST_ROWS`` members.
+  lists known to be long are scanned in parts of about ``list_rows`` members.
   Shingles found often come last in it (a bounded table of counts), so that
   common passages stay out of prefixes.  A list is scanned in order of size:
   each member is paired with the one before it; then, where a list still holds
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .components import components
-from .store import keep
+from .store import KEY, keep, row_keys
 
 BINS = 256
 #: Members of an inverted list that one task scans; the lists of shingles that are known to have more are split.
@@ -113,7 +113,7 @@ def _frequent(width: int, local: int, chunk: int = 3_000_000):
     return run
 
 
-def _signatures(width: int, frequent: np.ndarray, counts: np.ndarray):
+def _signatures(width: int, frequent: np.ndarray, counts: np.ndarray, list_rows: int):
     """Per document: id, row key, set size, class, bin counts and ordered prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +149,7 @@ def _signatures(width: int, frequent: np.ndarray, counts: np.ndarray):
                         **{c: np.ascontiguousarray(parity[:, i]) for i, c in enumerate(MAP)},
                         "bins": pa.array([bins[i * BINS : (i + 1) * BINS] if n[i] else None for i in range(hi - lo)], pa.binary()),
                         "prefix": pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(length)]).astype(np.int32), ordered[head]),
-                        "lists": pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(length)]).astype(np.int32), (rank[order][head] // LIST_ROWS + 1).astype(np.int32)),
+                        "lists": pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(length)]).astype(np.int32), (rank[order][head] // list_rows + 1).astype(np.int32)),
                     }
                 )
 
@@ -233,14 +233,6 @@ def _alike(a: str, b: str) -> Column:
     return F.col(f"n{a}") + F.col(f"n{b}") >= 9 * apart
 
 
-#: Two independent hashes of a row; 64 bits alone would meet others at 10**10 rows.
-KEY = ("_rk1", "_rk2")
-
-
-def row_keys() -> list[Column]:
-    return [F.xxhash64("doc_id", "text").alias(KEY[0]), F.xxhash64(F.lit(1), "text", "doc_id").alias(KEY[1])]
-
-
 def _key() -> Column:
     return F.struct(*row_keys()).alias("rk")
 
@@ -274,7 +266,7 @@ def _open(entries: DataFrame, parts: DataFrame, maps: DataFrame) -> DataFrame:
     return keep(placed.join(mixed, "g", "left_semi").join(maps, "cid").select("g", "k", "cid", "n", "p", "part", *MAP), "open")
 
 
-def jaccard_join(docs: DataFrame, width: int = 5, local: int = 4, frequent_limit: int = 1 << 17, boundary: int | None = None, lags: int = 4) -> DataFrame:
+def jaccard_join(docs: DataFrame, width: int = 5, local: int = 4, frequent_limit: int = 1 << 17, boundary: int | None = None, lags: int = 4, list_rows: int = LIST_ROWS) -> DataFrame:
     """Per document: doc_id, n_shingles, class_id, and component_id, the least doc_id that links lead to."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     # An order of shingles: any is right, one that puts frequent ones last is fast.
@@ -282,7 +274,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, local: int = 4, frequent_limit
     frequent, counts = often["g"].to_numpy().view(tk.U64), often["n"].to_numpy()
     order = np.argsort(frequent)
     sets = keep(
-        docs.select("doc_id", _key(), "text").mapInArrow(_signatures(width, frequent[order], counts[order]), f"doc_id {kind}, rk struct<{KEY[0]}: bigint, {KEY[1]}: bigint>, n long, cid long, {', '.join(f'{c} long' for c in MAP)}, bins binary, prefix array<long>, lists array<int>"),
+        docs.select("doc_id", _key(), "text").mapInArrow(_signatures(width, frequent[order], counts[order], list_rows), f"doc_id {kind}, rk struct<{KEY[0]}: bigint, {KEY[1]}: bigint>, n long, cid long, {', '.join(f'{c} long' for c in MAP)}, bins binary, prefix array<long>, lists array<int>"),
         "sets",
     )
     grouped = sets.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first_doc"), F.min("n").alias("n"), F.min("rk").alias("rk"), F.min_by("bins", "rk").alias("bins"), F.min_by(F.arrays_zip("prefix", "lists"), "rk").alias("prefix"))
@@ -367,8 +359,8 @@ def keep_one(docs: DataFrame, joined: DataFrame) -> DataFrame:
     """
     names = [f"_keep_one_{i}" for i in range(len(docs.columns))]
     own = docs.toDF(*names)
-    at = {c: F.col(n) for c, n in zip(docs.columns, names)}
-    keyed = own.select("*", F.xxhash64(at["doc_id"], at["text"]).alias(KEY[0]), F.xxhash64(F.lit(1), at["text"], at["doc_id"]).alias(KEY[1]))
+    at = dict(zip(docs.columns, names))
+    keyed = own.select("*", *row_keys(at["doc_id"], at["text"]))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
     rows = joined.where("part_id is not null").groupBy("part_id", "doc_id", "row_key").agg(F.count("*").alias("times"))
     chosen = keep(rows.groupBy("part_id").agg(F.min_by(F.struct("row_key", "times"), order).alias("x")).select("x.row_key.*", "x.times"), "chosen")

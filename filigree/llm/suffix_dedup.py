@@ -22,7 +22,8 @@ Plan
 
 Defined cases: a null or short text has no windows and stays as it is;
 repeated rows count as copies of one another; windows never cross documents;
-``doc_id`` may be null or repeated; other columns are ignored.
+``doc_id`` may be null or repeated; very long texts are read by segments that
+overlap by a window; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +36,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .store import keep
+from .store import keep, row_keys
+
+ROW = ("rk", "rk2")
 
 _LOW = 21  # bits of a key that hold the position, so that ties go to the leftmost
 _SEGMENT = 1 << 20
@@ -200,12 +203,12 @@ def _contexts(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> Ite
 def _anchor_rows(length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rk = batch.column(0).to_numpy(zero_copy_only=False)
-            data, offsets = tk.utf8(batch.column(1))
+            rk, rk2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            data, offsets = tk.utf8(batch.column(2))
             for first, last, d, o in tk.blocks(data, offsets):
                 for h, t, doc, lo, span, off in _contexts(d, o, length, k):
                     yield pa.record_batch(
-                        {"h": h.view(np.int64), "t": t.view(np.int64), "rk": rk[first:last][doc], "lo": lo.astype(np.int64), "span": span.astype(np.int32), "off": off.astype(np.int32)}
+                        {"h": h.view(np.int64), "t": t.view(np.int64), "rk": rk[first:last][doc], "rk2": rk2[first:last][doc], "lo": lo.astype(np.int64), "span": span.astype(np.int32), "off": off.astype(np.int32)}
                     )
 
     return run
@@ -310,8 +313,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _key() -> Column:
-    return F.xxhash64("doc_id", "text")
+def _key() -> list[Column]:
+    return [c.alias(n) for c, n in zip(row_keys(), ROW)]
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, k: int = 40, bin_width: int = 16, hot_strings: int = 4096, bucket_strings: int = 20_000) -> DataFrame:
@@ -320,18 +323,18 @@ def remove_repeats(docs: DataFrame, length: int = 200, k: int = 40, bin_width: i
         raise ValueError("1 < bin_width <= k < length must hold")
     spark = docs.sparkSession
     b = bin_width
-    texts = docs.select(_key().alias("rk"), "text").where(F.octet_length("text") >= length)
-    anchors = texts.mapInArrow(_anchor_rows(length, k), "h long, t long, rk long, lo long, span int, off int")
+    texts = docs.select(*_key(), "text").where(F.octet_length("text") >= length)
+    anchors = texts.mapInArrow(_anchor_rows(length, k), "h long, t long, rk long, rk2 long, lo long, span int, off int")
 
     groups = anchors.groupBy("h").agg(F.count("*").alias("c"), F.min("t").alias("t0"), F.max("t").alias("t1")).where("c > 1").select("h", (F.col("t0") == F.col("t1")).alias("full"))
     # Written first: both sides of the join are then plain exchanges, and one hot anchor's rows can be split.
     groups = keep(groups, "groups")
-    members = keep(anchors.join(groups, "h").select("h", F.xxhash64("h", "t").alias("tid"), "rk", "lo", "span", "off", "full"), "members")
+    members = keep(anchors.join(groups, "h").select("h", F.xxhash64("h", "t").alias("tid"), *ROW, "lo", "span", "off", "full"), "members")
 
-    reps = members.where("not full").groupBy("tid").agg(F.count("*").alias("n"), F.min_by(F.struct("rk", "h", "lo", "span", "off"), F.struct("rk", "lo")).alias("at"))
-    by_doc = reps.groupBy(F.col("at.rk").alias("rk")).agg(F.collect_list(F.struct("tid", "n", "at.h", "at.lo", "at.span", "at.off")).alias("reps"))
+    reps = members.where("not full").groupBy("tid").agg(F.count("*").alias("n"), F.min_by(F.struct(*ROW, "h", "lo", "span", "off"), F.struct(*ROW, "lo")).alias("at"))
+    by_doc = reps.groupBy(*(F.col(f"at.{c}").alias(c) for c in ROW)).agg(F.collect_list(F.struct("tid", "n", "at.h", "at.lo", "at.span", "at.off")).alias("reps"))
     bins = keep(
-        docs.select(_key().alias("rk"), "text").join(by_doc, "rk").select("text", "reps").mapInArrow(_bin_rows(length, b), "g long, tid long, n long, o_hi int, lhs binary, rhs binary"),
+        docs.select(*_key(), "text").join(by_doc, list(ROW)).select("text", "reps").mapInArrow(_bin_rows(length, b), "g long, tid long, n long, o_hi int, lhs binary, rhs binary"),
         "bins",
     )
     sizes = keep(bins.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("c")).where("c > 1").select("g", "m"), "sizes")
@@ -359,10 +362,11 @@ def remove_repeats(docs: DataFrame, length: int = 200, k: int = 40, bin_width: i
     anchor = F.col("lo") + F.col("off")
     spans = (
         members.where("full")
-        .select("rk", F.col("lo").alias("start"), (F.col("lo") + F.col("span") + length).alias("end"))
-        .unionByName(members.where("not full").join(found, "tid").select("rk", (anchor - F.col("o_hi")).alias("start"), (anchor - F.col("o_lo") + length).alias("end")))
+        .select(*ROW, F.col("lo").alias("start"), (F.col("lo") + F.col("span") + length).alias("end"))
+        .unionByName(members.where("not full").join(found, "tid").select(*ROW, (anchor - F.col("o_hi")).alias("start"), (anchor - F.col("o_lo") + length).alias("end")))
     )
-    listed = spans.groupBy("rk").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = docs.select(_key().alias("rk"), "doc_id", "text").join(listed, "rk", "left").select("doc_id", "text", "spans")
+    # as a set: equal rows have equal spans, and a row that is there a million times needs them once
+    listed = spans.groupBy(*ROW).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    joined = docs.select(*_key(), "doc_id", "text").join(listed, list(ROW), "left").select("doc_id", "text", "spans")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(_cut, f"doc_id {kind}, n_bytes long, spans array<struct<start: bigint, `end`: bigint>>, kept binary")

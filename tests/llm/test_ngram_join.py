@@ -82,3 +82,29 @@ def test_one_of_each_group_stays(spark):
     firsts = {c for d, _, c in brute(pairs(docs)) if d is not None}
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(firsts)
     assert jaccard_join(documents(spark, [])).collect() == []
+
+
+def test_rows_of_one_id_and_clashing_names(spark):
+    """Different texts of one id are different documents; equal rows are one; null ids take part; wordless rows stay."""
+    r = random.Random(2)
+    a, b, c = (prose(r, 30) for _ in range(3))
+    docs = documents(spark, [(1, a, "en", "s"), (1, b, "en", "s"), (2, c, "en", "s"), (2, c, "en", "s"), (3, c + " end", None, None), (None, a, None, None), (None, None, None, None), (4, " ", None, None), (4, " ", None, None)])
+    docs = docs.withColumnsRenamed({"h": "_one", "rk": "_rk1", "n": "part_id", "g": "row_key"})
+    kept = keep_one(docs, jaccard_join(docs))
+    assert kept.schema == docs.schema
+    assert sorted(((x.doc_id, x.text) for x in kept.collect()), key=repr) == sorted([(1, a), (1, b), (2, c), (None, None), (4, " "), (4, " ")], key=repr)
+
+
+def test_long_lists_are_split(spark):
+    """Lists that are known to be long are scanned in parts, with the same result."""
+    r = random.Random(7)
+    base = prose(r, 60).split(" ")
+    rows = []
+    for i in range(200):
+        w = list(base)
+        w[r.randrange(len(w))] = f"e{i % 50}"
+        rows.append((i, " ".join(w), None, None))
+    docs = documents(spark, rows)
+    want = sorted(tuple(x) for x in brute(pairs(docs)))
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in jaccard_join(docs, boundary=0, list_rows=20).collect())
+    assert got == want
