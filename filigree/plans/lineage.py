@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -54,3 +55,9 @@ def forget(df: DataFrame | None) -> None:
         context = df.sparkSession.sparkContext
         where = context._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Have the driver look for finished steps now: Spark deletes their shuffle files once it has found that nothing refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
