@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .components import components
-from .store import KEY, keep, row_keys
+from .store import KEY, forget, keep, let_go, row_keys
 
 BINS = 256
 #: Members of an inverted list that one task scans; the lists of shingles that are known to have more are split.
@@ -263,7 +263,9 @@ def _open(entries: DataFrame, parts: DataFrame, maps: DataFrame) -> DataFrame:
     placed = entries.join(parts, F.col("cid") == F.col("node"), "left").select("g", "k", "cid", "n", "p", F.coalesce("component", "cid").alias("part"))
     placed = keep(placed, "placed")
     mixed = placed.groupBy("g").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("g")
-    return keep(placed.join(mixed, "g", "left_semi").join(maps, "cid").select("g", "k", "cid", "n", "p", "part", *MAP), "open")
+    out = keep(placed.join(mixed, "g", "left_semi").join(maps, "cid").select("g", "k", "cid", "n", "p", "part", *MAP), "open")
+    forget(placed)
+    return out
 
 
 def jaccard_join(docs: DataFrame, width: int = 5, local: int = 4, frequent_limit: int = 1 << 17, boundary: int | None = None, lags: int = 4, list_rows: int = LIST_ROWS) -> DataFrame:
@@ -277,7 +279,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, local: int = 4, frequent_limit
         docs.select("doc_id", _key(), "text").mapInArrow(_signatures(width, frequent[order], counts[order], list_rows), f"doc_id {kind}, rk struct<{KEY[0]}: bigint, {KEY[1]}: bigint>, n long, cid long, {', '.join(f'{c} long' for c in MAP)}, bins binary, prefix array<long>, lists array<int>"),
         "sets",
     )
-    grouped = sets.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first_doc"), F.min("n").alias("n"), F.min("rk").alias("rk"), F.min_by("bins", "rk").alias("bins"), F.min_by(F.arrays_zip("prefix", "lists"), "rk").alias("prefix"))
+    grouped = sets.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first_doc"), F.min("n").alias("n"), F.min("rk").alias("rk"), F.min_by("bins", "rk").alias("bins"), F.min_by(F.struct("prefix", "lists"), "rk").alias("at"))
     if boundary is None:
         histogram = {r.n: r.c for r in sets.where("n between 1 and 64").groupBy("n").agg(F.countDistinct("cid").alias("c")).collect()}  # 64 rows at most
         boundary = choose_boundary(histogram)
@@ -285,15 +287,16 @@ def jaccard_join(docs: DataFrame, width: int = 5, local: int = 4, frequent_limit
     classes = keep(classes, "classes")
     texts = _Texts(docs, classes, width)
 
-    links = []
+    links, made = [], []
     if boundary:
         light = docs.select(_key(), "text").where(F.octet_length("text") > 0).join(classes.where(F.col("n") <= boundary).select("cid", "rk"), "rk")
         rows = keep(light.select("cid", "text").mapInArrow(_subsets(boundary, width), "key long, cid long, n long, least long"), "subsets")
         # A set of the smaller size is linked with every set that has the subset.
         centres = rows.where("n = least").groupBy("key").agg(F.min("cid").alias("b"))
+        made.append(rows)
         links.append(rows.join(centres, "key").where("cid <> b").select(F.col("cid").alias("a"), "b"))
 
-    entries = grouped.where(5 * F.col("n") >= 4 * (boundary + 1)).select("cid", "n", F.posexplode("prefix").alias("p", "e")).select("cid", "n", "p", F.col("e.prefix").alias("g"), F.col("e.lists").alias("k"))
+    entries = grouped.where(5 * F.col("n") >= 4 * (boundary + 1)).select("cid", "n", F.posexplode(F.arrays_zip(F.col("at.prefix").alias("prefix"), F.col("at.lists").alias("lists"))).alias("p", "e")).select("cid", "n", "p", F.col("e.prefix").alias("g"), F.col("e.lists").alias("k"))
     by_size = Window.partitionBy("g", _split(0)).orderBy("n", "cid")
     entry = F.struct("cid", "n", "p")
     scanned = entries.select("g", "k", "cid", "n", "p", F.lag(entry).over(by_size).alias("before"), F.lead("cid").over(by_size).alias("after"))
@@ -312,11 +315,15 @@ def jaccard_join(docs: DataFrame, width: int = 5, local: int = 4, frequent_limit
     for more in links[1:]:
         found = found.unionAll(more)
     found = keep(found, "found")
+    for done in made:
+        forget(done)
     parts = keep(components(found), "parts")
 
     # Lists that still hold several components: meet some of another component, then compare across.
     maps = classes.select("cid", *MAP)
     open_ = _open(lists.select("g", "k", "cid", "n", "p"), parts, maps)
+    forget(lists)
+    let_go(docs.sparkSession)
     shuffled = Window.partitionBy("g", _split(1)).orderBy(F.xxhash64("cid", F.lit(1)), "cid")
     row = F.struct("cid", "n", "p", "part", *MAP)
     met = open_.select(row.alias("x"), F.array(*(F.lag(row, k).over(shuffled) for k in range(1, lags + 1))).alias("ys")).select("x", F.explode(F.filter("ys", lambda y: y["part"] != F.col("x.part"))).alias("y"))
@@ -328,13 +335,18 @@ def jaccard_join(docs: DataFrame, width: int = 5, local: int = 4, frequent_limit
     if not bridges.isEmpty():
         found = keep(found.unionAll(bridges), "found")
         parts = keep(components(found), "parts")
-        open_ = _open(open_.select("g", "k", "cid", "n", "p"), parts, maps)
+        before = open_
+        open_ = _open(before.select("g", "k", "cid", "n", "p"), parts, maps)
+        forget(before)
     x, y = (open_.select("g", *(F.col(c).alias(f"{c}{end}") for c in ("cid", "n", "p", "part", *MAP))) for end in ("_a", "_b"))
     across = x.join(y, (x["g"] == y["g"]) & (F.col("cid_a") > F.col("cid_b")) & (F.col("part_a") != F.col("part_b")) & near).select(*pair).distinct()
     across = keep(across.join(first.unionAll(second), ["a", "b"], "left_anti"), "across")
     bridges = keep(texts.links(across), "bridges")
     if not bridges.isEmpty():
         parts = keep(components(found.unionAll(bridges)), "parts")
+    for done in (open_, first, second, across, bridges, found):
+        forget(done)
+    let_go(docs.sparkSession)
 
     named = classes.join(parts, F.col("cid") == F.col("node"), "left").select("cid", "first_doc", F.coalesce("component", "cid").alias("part"))
     least = named.groupBy("part").agg(F.min("first_doc").alias("component_id"))
