@@ -103,8 +103,9 @@ def hilbert_shards(docs: DataFrame, shards: int = 16, bits: int = 5, rows_per_pa
     rows = docs.select("doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_text"), lang.alias("_l"), source.alias("_s"), log.alias("_z"))
     rows = keep(rows, "rows")
     # Equal texts lie together: a group has the least language and source of its rows.
-    groups = rows.groupBy("_text", "text_crc32").agg(F.min(F.struct("_l", "_s")).alias("_at"))
-    cell = F.element_at(curve_table(bits), (F.col("_at._l") * side + F.col("_at._s")) * side + F.col("_z") + 1)
+    # Written first: both sides of the join are then plain exchanges, and the rows of one text can be split.
+    groups = keep(rows.groupBy("_text", "text_crc32").agg(F.min(F.col("_l") * side + F.col("_s")).alias("_at")), "groups")
+    cell = F.element_at(curve_table(bits), F.col("_at") * side + F.col("_z") + 1)
     placed = rows.join(groups, ["_text", "text_crc32"]).select("doc_id", "size", "text_crc32", "_text", cell.alias("cell"))
     n = rows.count()
     placed, counts = spread_sort(keep(placed, "placed"), ["cell", "_text", "text_crc32", "doc_id"], -(-n // rows_per_part))
