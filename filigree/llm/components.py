@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import forget, keep
+from .store import forget, keep, let_go
 
 _CHUNK = 2_000_000
 
@@ -92,4 +92,5 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         mark = seen
     else:
         raise RuntimeError("components did not settle")
+    let_go(links.sparkSession)  # each round has left the files of some ten exchanges
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

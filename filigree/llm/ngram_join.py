@@ -241,7 +241,7 @@ class _Texts:
     """Bin counts and texts of classes, one document each."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, width: int):
-        self.docs, self.classes, self.width = docs, classes, width
+        self.docs, self.classes, self.width, self.used = docs, classes, width, []
 
     def links(self, pairs: DataFrame) -> DataFrame:
         side = lambda c, *cols: self.classes.select(F.col("cid").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in cols))
@@ -250,6 +250,7 @@ class _Texts:
         used = likely.select(F.col("a").alias("cid")).unionAll(likely.select(F.col("b").alias("cid"))).distinct()
         texts = self.docs.select(_key(), "text").join(self.classes.join(used, "cid").select("cid", "rk"), "rk").groupBy("cid").agg(F.first("text").alias("text"))
         one = lambda c: texts.select(F.col("cid").alias(c), F.col("text").alias(f"text_{c}"))
+        self.used.append(likely)
         return likely.join(one("a"), "a").join(one("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_linked(self.width), "a long, b long")
 
 
@@ -285,6 +286,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, local: int = 4, frequent_limit
         boundary = choose_boundary(histogram)
     classes = sets.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first_doc"), F.min("n").alias("n"), F.min("rk").alias("rk"), *(F.first(c).alias(c) for c in MAP), F.min_by("bins", "rk").alias("bins"))
     classes = keep(classes, "classes")
+    let_go(docs.sparkSession)
     texts = _Texts(docs, classes, width)
 
     links, made = [], []
@@ -344,14 +346,13 @@ def jaccard_join(docs: DataFrame, width: int = 5, local: int = 4, frequent_limit
     bridges = keep(texts.links(across), "bridges")
     if not bridges.isEmpty():
         parts = keep(components(found.unionAll(bridges)), "parts")
-    for done in (open_, first, second, across, bridges, found):
+    for done in (open_, first, second, across, bridges, found, *texts.used):
         forget(done)
-    let_go(docs.sparkSession)
 
     named = classes.join(parts, F.col("cid") == F.col("node"), "left").select("cid", "first_doc", F.coalesce("component", "cid").alias("part"))
     least = named.groupBy("part").agg(F.min("first_doc").alias("component_id"))
     final = named.join(least, "part").select("cid", "component_id", "part")
-    return sets.select("doc_id", "rk", "n", F.when(F.col("n") > 0, F.col("cid")).alias("cid")).join(final, "cid", "left").select(
+    joined = sets.select("doc_id", "rk", "n", F.when(F.col("n") > 0, F.col("cid")).alias("cid")).join(final, "cid", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
@@ -359,6 +360,12 @@ def jaccard_join(docs: DataFrame, width: int = 5, local: int = 4, frequent_limit
         F.col("part").alias("part_id"),
         F.col("rk").alias("row_key"),
     )
+    # A few numbers a row: what they were made of goes.
+    joined = keep(joined, "joined")
+    for done in (sets, classes, parts):
+        forget(done)
+    let_go(docs.sparkSession)
+    return joined
 
 
 def keep_one(docs: DataFrame, joined: DataFrame) -> DataFrame:
