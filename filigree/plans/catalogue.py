@@ -542,7 +542,7 @@ def f16_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """SELECT 'n' || n_nationkey AS id, n_name AS name, n_nationkey AS number, n_nationkey / 2.0 AS share, n_nationkey % 2 = 0 AS even, 'nation,area' AS labels, len(n_name) AS parts, 'r' || n_regionkey AS region FROM nation
-UNION ALL SELECT 'r' || r_regionkey, r_name, NULL, NULL, NULL, 'region', NULL, NULL FROM region"""
+UNION ALL SELECT 'r' || r_regionkey, r_name, r_regionkey, NULL, NULL, 'region', len(r_name), NULL FROM region"""
 )
 def lgf_files(spark: SparkSession, d: str) -> DataFrame:
     """Nations in a file that imports another with the regions: labels given twice, scalars, lists, comments, inverse edges."""
@@ -554,7 +554,9 @@ def lgf_files(spark: SparkSession, d: str) -> DataFrame:
         letters = ", ".join(f'"{c}"' for c in n.n_name)
         text += [f"n{n.n_nationkey} nation", f'    name = "{n.n_name}"', f"    number = {n.n_nationkey}", f"    share = {n.n_nationkey / 2}", f"    even = {str(n.n_nationkey % 2 == 0).lower()}"]
         text += ["    parts = [", f"        {letters}", "    ]", f"    <-holds- r{n.n_regionkey}", f"n{n.n_nationkey} area nation"]
-    other = [x for r in regions for x in (f"r{r.r_regionkey} region", f'    name = "{r.r_name}"')]
+    other = []
+    for r in regions:
+        other += [f"r{r.r_regionkey} region", f'    name = "{r.r_name}"', f"    number = {r.r_regionkey}", "    parts = [" + ", ".join(f'"{c}"' for c in r.r_name) + "]"]
     for name, lines in (("main.lgf", text), ("more/regions.lgf", other)):
         _write_text(spark, f"{path}/{name}", "\n".join(lines) + "\n")
     g = lgf.read_lgf(spark, f"{path}/main.lgf")

@@ -23,6 +23,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -185,20 +186,24 @@ def _shaped(attrs: dict[str, Any]) -> dict[str, dict[str, Any]]:
 def _merged(rows: DataFrame) -> DataFrame:
     """One node an id from rows (id, attr, o), by order of ``o``."""
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
+    kind = NODES["attr"].dataType
+
+    def one(part: pa.Table) -> pa.Table:  # Arrow, as pandas makes floats of whole numbers beside nulls
+        from pyspark.sql.pandas.types import to_arrow_type
+
         from ..schema import decode
 
         attrs: dict[str, Any] = {}
-        for a in part.sort_values("o")["attr"]:
-            for k, v in dict(a).items():
+        for row in sorted(part.select(["o", "attr"]).to_pylist(), key=lambda r: r["o"]):
+            for k, v in row["attr"]:
                 v = decode(v)
                 attrs[k] = list(dict.fromkeys([*attrs.get(k, []), *v])) if k == "labels" and isinstance(v, list) else v
-        return pd.DataFrame({"id": [part["id"].iloc[0]], "attr": [_shaped(attrs)]})
+        return pa.table({"id": part["id"].slice(0, 1), "attr": pa.array([list(_shaped(attrs).items())], to_arrow_type(kind))})
 
     single = rows.groupBy("id").agg(F.count("*").alias("c"))
     twice = rows.join(single.where("c > 1").select("id"), "id", "left_semi")
     once = rows.join(single.where("c = 1").select("id"), "id", "left_semi").select("id", "attr")
-    joined = twice.groupBy("id").applyInPandas(one, f"id string, attr {NODES['attr'].dataType.simpleString()}")
+    joined = twice.groupBy("id").applyInArrow(one, f"id string, attr {kind.simpleString()}")
     return once.unionByName(joined).withColumn("meta", F.create_map().cast(NODES["meta"].dataType))
 
 

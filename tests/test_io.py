@@ -129,3 +129,11 @@ def test_streams(spark, tmp_path):
     query = changes.watch(changes.observed_stream(stream), [lambda g, d: seen.extend(tuple(r) for r in d.collect()) or None, lambda g, d: False, lambda g, d: never.append(1)], checkpoint=str(tmp_path / "c"))
     query.awaitTermination(90)
     assert sorted(seen, key=repr) == sorted([("o", "foo", "1", None, 0), ("o", "foo", "2", "1", 2), ("p", "foo", "1", None, 3)], key=repr) and not never
+
+
+def test_merged_nodes_keep_kinds(spark):
+    """Whole numbers stay whole, beyond 2**53 too, where a node is given twice."""
+    first = lgf.parse_lgf(spark, f"x p\n    n = {2**60 + 1}\n    f = 2.5\n    b = true\n    l = [1, 2]\n")
+    attr = lgf.parse_lgf(spark, "x q\n    m = 4\n", first).nodes.first().attr
+    assert {k: v.t for k, v in attr.items()} == {"n": "Int", "f": "Float", "b": "Bool", "l": "List", "m": "Int", "labels": "List"}
+    assert (attr["n"].i, attr["m"].i, attr["f"].d, attr["b"].b, attr["l"].j, attr["labels"].j) == (2**60 + 1, 4, 2.5, True, "[1, 2]", '["p", "q"]')
