@@ -3,7 +3,7 @@
 Benchmark items and documents are cut into overlapping word windows
 (passages) with TF-IDF weights (the square of the inverse frequency) over the
 benchmark's vocabulary.  A
-randomised SVD of benchmark and corpus passages gives a latent basis: each
+randomised SVD of all benchmark and corpus passages gives a latent basis: each
 worker multiplies its passages with a random matrix and back, only sums of
 vocabulary size by ``rank`` are shuffled.  A candidate (passage, item) is a leak
 if the longest common subsequence of words, in the passage and as many words
@@ -19,12 +19,13 @@ Candidates are the pairs of two searches:
   an item reaches ``cosine``.  The cosine is over words of the vocabulary alone:
   what other words weigh depends on the number of documents.
 
-Document frequencies count every document and every document is searched; the
-basis is fitted on all benchmark passages and those of the ``fit_rows``
-documents of least id hash.  The benchmark is read in blocks of
+Document frequencies and the basis count every passage of every row, and every
+row is searched; only a caller that names ``fit_rows`` gets a basis of so many
+documents, those of least id hash.  The benchmark is read in blocks of
 ``block_items`` items.  A block's index is all that the driver and a task hold,
 so no size of the benchmark is assumed; each block costs a pass over the
-documents for its words' frequencies and one for the search.
+documents for the numbers of their words, which are written once and read for
+the frequencies and in each round of the basis, and a pass for the search.
 
 Defined cases: null or wordless texts leak nothing and null or wordless items
 are never found; items of fewer than ``min_words`` words must be there word by
@@ -46,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textkit as tk
-from .store import KEY, keep, row_keys
+from .store import KEY, forget, keep, row_keys
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
@@ -264,21 +265,39 @@ def _texts(rows: list) -> tuple[np.ndarray, np.ndarray]:
     return tk.utf8(pa.array(rows, pa.string()))
 
 
-def _document_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
+def _numbers(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Rows of some documents each: how many words they have, and the words' numbers."""
+    width = "<u2" if len(vocabulary) <= 1 << 16 else "<u4"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(len(vocabulary), np.int64), 0
         for batch in batches:
             data, offsets = tk.utf8(batch.column(0))
-            n += len(batch)
-            for _, _, d, o in tk.blocks(data, offsets):
+            for lo, hi, d, o in tk.blocks(data, offsets):
                 words, doc = words_of(d, o)
-                number = vocabulary.number(words)
+                yield pa.record_batch({"length": [np.bincount(doc, minlength=hi - lo).astype("<i4").tobytes()], "number": [vocabulary.number(words).astype(width).tobytes()]})
+
+    return keep(docs.select("text").mapInArrow(run, "length binary, number binary"), "word-numbers")
+
+
+def _numbered(batch: pa.RecordBatch, vocabulary: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words of each document and numbers of the words, of each row that ``_numbers`` made."""
+    width = "<u2" if len(vocabulary) <= 1 << 16 else "<u4"
+    for length, number in zip(batch.column(0), batch.column(1)):
+        yield np.frombuffer(length.as_buffer(), "<i4").astype(np.int64), np.frombuffer(number.as_buffer(), width).astype(np.int64)
+
+
+def _document_frequencies(numbers: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n = np.zeros(len(vocabulary), np.int64), 0
+        for batch in batches:
+            for length, number in _numbered(batch, vocabulary):
+                n += len(length)
                 known = number > 0
-                df += np.bincount(np.unique(doc[known] * len(df) + number[known]) % len(df), minlength=len(df))
+                df += np.bincount(np.unique(np.repeat(np.arange(len(length)), length)[known] * len(df) + number[known]) % len(df), minlength=len(df))
         seen = np.flatnonzero(df)
         yield pa.record_batch({"v": np.append(seen, -1), "n": np.append(df[seen], n)})
 
-    counts = {r.v: r.n for r in docs.select("text").mapInArrow(run, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")).collect()}
+    counts = {r.v: r.n for r in numbers.mapInArrow(run, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")).collect()}
     n = counts.pop(-1, 0) or 0
     return np.array([counts.get(v, 0) for v in range(len(vocabulary))], float), n
 
@@ -312,30 +331,87 @@ def _there_and_back(row: np.ndarray, col: np.ndarray, value: np.ndarray, n: int,
     return out
 
 
-def _basis(sample: DataFrame, items: tuple[np.ndarray, np.ndarray], vocabulary: Vocabulary, idf: np.ndarray, step: int, blocks: int, rank: int, rounds: int, corpus_share: float = 0.01) -> np.ndarray:
+def _corpus_there_and_back(length: np.ndarray, number: np.ndarray, x: np.ndarray, idf: np.ndarray, usual: np.ndarray, step: int, blocks: int) -> tuple[np.ndarray, int]:
+    """A'A x for the passages A of documents of these lengths, without the inverse frequencies on the left, and the number of passages.
+
+    Passages are runs of ``blocks`` steps, so steps are multiplied once and
+    passages are sums of them.  Words with a place in ``usual`` are counted in a
+    dense matrix, others are added one by one.
+    """
+    length = length[length > 0]
+    steps = -(-length // step)  # of each document
+    n = int(steps.sum())
+    out = np.zeros_like(x)
+    if not n:
+        return out, 0
+    of_doc, k = np.repeat(np.arange(len(length)), length), _within(length)
+    at = (np.cumsum(steps) - steps)[of_doc] + k // step
+    known = np.flatnonzero(number)
+    word, at_known = number[known], at[known]
+    place = usual[word]
+    dense = place >= 0
+    width = int(usual.max()) + 1
+    counts = np.bincount(at_known[dense] * width + place[dense], minlength=n * width).reshape(n, width).astype(np.float32)
+    which = np.flatnonzero(usual >= 0)
+    which = which[np.argsort(usual[which])]
+    weighted = (x * idf[:, None]).astype(np.float32)
+    sums = counts @ weighted[which]
+    rest, at_rest = word[~dense], at_known[~dense]
+    if len(rest):
+        cut = np.flatnonzero(np.concatenate([[True], at_rest[1:] != at_rest[:-1]]))
+        sums[at_rest[cut]] += np.add.reduceat(weighted[rest], cut, axis=0)
+    square = np.bincount(at, idf[number].astype(np.float64) ** 2, minlength=n)
+    # A document's passages begin at its steps but for the last ones.
+    each = np.maximum(steps - blocks + 1, 1)
+    first = np.repeat(np.cumsum(steps) - steps, each) + _within(each)
+    last = np.repeat(np.cumsum(steps), each)
+    total, norm = np.zeros((len(first), x.shape[1]), np.float32), np.zeros(len(first))
+    for j in range(blocks):
+        there = first + j < last
+        total[there] += sums[first[there] + j]
+        norm[there] += square[first[there] + j]
+    total /= np.maximum(norm, 1e-24)[:, None]
+    back = np.zeros_like(sums)
+    for j in range(blocks):
+        there = first + j < last
+        back[first[there] + j] += total[there]  # no step twice: passages begin at different steps
+    out[which] = counts.T @ back
+    if len(rest):
+        order = np.argsort(rest, kind="stable")
+        c = rest[order]
+        cut = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+        out[c[cut]] += np.add.reduceat(back[at_rest[order]], cut, axis=0)
+    return out, len(first)
+
+
+def _basis(numbers: DataFrame, items: tuple[np.ndarray, np.ndarray], vocabulary: Vocabulary, idf: np.ndarray, frequency: np.ndarray, step: int, blocks: int, rank: int, rounds: int, corpus_share: float = 0.01) -> np.ndarray:
     """Right singular vectors of benchmark and corpus passages by randomised subspace iteration."""
     v = len(vocabulary)
     x = np.linalg.qr(np.random.default_rng(11).standard_normal((v, min(v, rank))))[0].astype(np.float32)
     own = _tfidf(*items, vocabulary, idf, step, blocks)
-    for _ in range(rounds):
+    usual = np.full(v, -1, np.int64)
+    often = np.argsort(-frequency[1:], kind="stable")[:256] + 1
+    usual[often] = np.arange(len(often))
+    columns = [f"y{i}" for i in range(x.shape[1])]
+    for _ in range(rounds if v > 1 else 0):
 
         def run(batches: Iterator[pa.RecordBatch], x: np.ndarray = x) -> Iterator[pa.RecordBatch]:
-            total, rows = np.zeros_like(x), 0
+            total, rows = np.zeros(x.shape), 0
             for batch in batches:
-                data, offsets = tk.utf8(batch.column(0))
-                for _, _, d, o in tk.blocks(data, offsets, 256 << 10):
-                    row, col, value, n, _ = _tfidf(d, o, vocabulary, idf, step, blocks)
-                    total += _there_and_back(row, col, value, n, x)
+                for length, number in _numbered(batch, vocabulary):
+                    y, n = _corpus_there_and_back(length, number, x, idf, usual, step, blocks)
+                    total += y
                     rows += n
+            total *= idf[:, None]
             hit = np.flatnonzero(np.abs(total).sum(1))
-            yield pa.record_batch({"v": pa.array(np.append(hit, -1)), "y": pa.array([*total[hit].astype(np.float64), np.full(x.shape[1], float(rows))], pa.list_(pa.float64()))})
+            yield pa.record_batch({"v": np.append(hit, -1), **{c: np.append(total[hit, i], float(rows)) for i, c in enumerate(columns)}})
+            tk.release()
 
         # Partial products meet by vocabulary entry; there are ``len(vocabulary)`` sums.
-        parts = sample.select("text").mapInArrow(run, "v long, y array<double>").select("v", F.posexplode("y").alias("k", "y")).groupBy("v", "k").agg(F.sum("y").alias("y"))
-        table = parts.toArrow()
-        ids, k, y = (table[c].to_numpy() for c in ("v", "k", "y"))
+        table = numbers.mapInArrow(run, "v long, " + ", ".join(f"{c} double" for c in columns)).groupBy("v").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
+        ids, y = table["v"].to_numpy(), np.stack([table[c].to_numpy() for c in columns], 1)
         corpus = np.zeros_like(x)
-        corpus[ids[ids >= 0], k[ids >= 0]] = y[ids >= 0]
+        corpus[ids[ids >= 0]] = y[ids >= 0]
         rows = float(y[ids < 0].max()) if (ids < 0).any() else 0.0
         # The corpus turns the basis a little; at equal weight the benchmark's rare words would not be in it.
         bench = _there_and_back(*own[:4], x)
@@ -353,7 +429,7 @@ def find_leaks(
     cover: float = 0.7,
     answer_words: int = 6,
     min_words: int = 8,
-    fit_rows: int = 2000,
+    fit_rows: int | None = None,
     rounds: int = 3,
     block_items: int = 2000,
     extra: tuple[str, ...] = (),
@@ -366,8 +442,10 @@ def find_leaks(
     docs = docs.select(*extra, "doc_id", "text")
     texts = benchmark.select("item_id", "text").where("item_id is not null and text is not null").orderBy("item_id", "text")
     rows = texts.toLocalIterator()
-    ids = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))  # a row an id
+    sample = None
+    if fit_rows is not None:
+        ids = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+        sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))  # a row an id
     kind = benchmark.schema["item_id"].dataType
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema[:-1])
 
@@ -408,15 +486,20 @@ def find_leaks(
     return joined.select(*extra, "doc_id", F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("cover", F.lit(0.0)).alias("cover"), F.col("cover").isNotNull().alias("leaked"))
 
 
-def _index(docs: DataFrame, sample: DataFrame, block: list, rank: int, step: int, blocks: int, cosine: float, cover: float, answer_words: int, min_words: int, rounds: int) -> LeakIndex:
+def _index(docs: DataFrame, sample: DataFrame | None, block: list, rank: int, step: int, blocks: int, cosine: float, cover: float, answer_words: int, min_words: int, rounds: int) -> LeakIndex:
+    """The index of some items; its basis is fitted on all of ``docs`` or on ``sample``."""
     data, offsets = _texts([r.text for r in block])
     words, doc = words_of(data, offsets)
     vocabulary = Vocabulary(words)
-    df, n = _document_frequencies(docs, vocabulary)
+    numbers = _numbers(docs, vocabulary)
+    df, n = _document_frequencies(numbers, vocabulary)
     idf = np.log((n + 1) / (df + 1)).clip(0.05).astype(np.float32)
     idf[0] = np.log(n + 2) * 0.7  # a word outside the benchmark
     idf **= 2  # rare words tell items apart, a language's common ones only tell languages
-    basis = _basis(sample, (data, offsets), vocabulary, idf, step, blocks, rank, rounds)
+    fitted = numbers if sample is None else _numbers(sample, vocabulary)
+    basis = _basis(fitted, (data, offsets), vocabulary, idf, df, step, blocks, rank, rounds)
+    for done in {id(x): x for x in (numbers, fitted)}.values():
+        forget(done)
     row, col, value, n_rows, whose = _tfidf(data, offsets, vocabulary, idf, step, blocks)
     latent = np.zeros((n_rows, basis.shape[1]), np.float32)
     np.add.at(latent, row, basis[col] * value[:, None])

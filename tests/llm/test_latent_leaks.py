@@ -103,3 +103,35 @@ def test_no_leak_is_lost_as_the_corpus_grows(spark, monkeypatch):
         for s, e, _ in zip(*latent_leaks.windows(doc, 32, 2)):
             want |= {(d, i) for i in range(len(items)) if index.verify(i, words, doc, s, e)}
     assert {(i, i) for i in range(len(items))} <= want and got == want
+
+
+def many(spark):
+    """More short documents than the basis was once fitted on, and a benchmark of their words."""
+    r = random.Random(12)
+    words = ["".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(3)) for _ in range(120)]
+    rows = [(i, " ".join(r.choice(words[i % 7 :: 7]) for _ in range(r.choice([3, 40, 90]))), "en", "s") for i in range(2300)]
+    items = [(i, " ".join(r.choice(words) for _ in range(r.randint(20, 100)))) for i in range(12)]
+    return documents(spark, rows), rows, spark.createDataFrame(items, "item_id long, text string"), items
+
+
+def test_basis_counts_every_document(spark, monkeypatch):
+    """The basis against a plain iteration over the passages of all documents; sums of a vocabulary entry are not one row a dimension."""
+    from filigree.llm import latent_leaks
+
+    docs, rows, bench, items = many(spark)
+    made, index = [], latent_leaks._index
+    monkeypatch.setattr(latent_leaks, "_index", lambda *a: made.append(index(*a)) or made[-1])
+
+    def no_rows(*_):
+        raise AssertionError("a row for each dimension")
+
+    monkeypatch.setattr(latent_leaks.F, "posexplode", no_rows)
+    assert find_leaks(docs, bench, rank=6).count() == len(rows)
+    own = made[0]
+    at = lambda ts: latent_leaks._tfidf(*latent_leaks._texts(ts), own.vocabulary, own.idf, 32, 2)
+    corpus, bench_rows = at([r[1] for r in rows]), at([t for _, t in items])
+    x = np.linalg.qr(np.random.default_rng(11).standard_normal((len(own.vocabulary), 6)))[0].astype(np.float32)
+    for _ in range(3):
+        y = latent_leaks._there_and_back(*bench_rows[:4], x) + latent_leaks._there_and_back(*corpus[:4], x) * (0.01 * bench_rows[3] / corpus[3])
+        x = np.linalg.qr(y)[0].astype(np.float32)
+    assert own.basis.shape == x.shape and np.abs(own.basis - x).max() < 1e-3
