@@ -135,3 +135,15 @@ def test_basis_counts_every_document(spark, monkeypatch):
         y = latent_leaks._there_and_back(*bench_rows[:4], x) + latent_leaks._there_and_back(*corpus[:4], x) * (0.01 * bench_rows[3] / corpus[3])
         x = np.linalg.qr(y)[0].astype(np.float32)
     assert own.basis.shape == x.shape and np.abs(own.basis - x).max() < 1e-3
+
+
+def test_pipeline_stage_fits_its_basis_on_every_document(spark, monkeypatch, tmp_path):
+    import corpus_pipeline
+    from filigree.llm import latent_leaks
+
+    docs, rows, bench, _ = many(spark)
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    seen, basis = [], latent_leaks._basis
+    monkeypatch.setattr(latent_leaks, "_basis", lambda source, *a, **k: seen.append(latent_leaks._document_frequencies(source, a[1])[1] if "number" in source.columns else source.count()) or basis(source, *a, **k))
+    corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert seen == [len(rows)]
