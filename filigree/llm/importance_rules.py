@@ -8,9 +8,12 @@ n-grams are the single words and the pairs of words in a row, hashed into
 ``buckets``.  A document is kept where the mean ratio reaches the threshold:
 the ``quantile`` of trusted documents that were held out of the multinomial.
 
-The trusted multinomial is fitted on at most ``trusted_limit`` labelled rows,
-those of least hash, and the threshold on at most ``held_limit`` others (those
-with ``crc32(doc_id) mod 4 = 3``); the corpus multinomial counts every document.
+The trusted multinomial counts every trusted document but those with
+``crc32(doc_id) mod 4 = 3``, the threshold is of all of these, and the corpus
+multinomial counts every document.  Every document is scored once; the quantile
+is read from the scores, exactly up to 10,000 held-out rows, beyond that within
+a ten-thousandth of their ranks.  Labels grow with the corpus, so they are
+never shipped: one join by sorting at every size.
 
 Defined cases: a null or empty text has no words, fails and has score 0; null
 ``doc_id`` is never trusted; repeated rows count repeatedly; a score equal to
@@ -27,6 +30,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import keep
+
 SPACE = "\\x20\\x09-\\x0D"
 #: White space and the symbols that are counted.
 _BLANKS, _SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -79,20 +84,19 @@ def features(h: Column, buckets: int) -> Column:
     return F.when(n > 0, F.concat(single, pairs)).otherwise(single)
 
 
-def trusted_ids(labels: DataFrame, held: bool, limit: int) -> DataFrame:
-    """Ids whose labels say quality 1, at most ``limit`` of least hash."""
+def trusted_ids(labels: DataFrame, held: bool) -> DataFrame:
+    """Ids whose labels say quality 1."""
     own = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 3
-    return labels.where("quality = 1 and doc_id is not null").where(own if held else ~own).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    return labels.where("quality = 1 and doc_id is not null").where(own if held else ~own).select("doc_id").distinct()
 
 
 def _hashed(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*columns, hashes(words(F.coalesce("text", F.lit("")))).alias("_words"))
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, trusted_limit: int) -> list[float]:
+def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int) -> list[float]:
     """Log ratio of each bucket: trusted over corpus, each smoothed by one count a bucket."""
-    trusted = trusted_ids(labels, False, trusted_limit)
-    flagged = docs.join(F.broadcast(trusted.withColumn("_trusted", F.lit(1))), "doc_id", "left")
+    flagged = docs.join(trusted_ids(labels, False).withColumn("_trusted", F.lit(1)).hint("merge"), "doc_id", "left")
     hashed = _hashed(flagged, "_trusted").select("_trusted", F.explode(features(F.col("_words"), buckets)).alias("b"))
     counts = hashed.groupBy("b").agg(F.count("*").alias("raw"), F.count("_trusted").alias("good")).collect()  # at most ``buckets`` rows
     raw, good = [1.0] * buckets, [1.0] * buckets
@@ -111,20 +115,17 @@ def mean_ratio(ratios: list[float]) -> Column:
     return F.when(F.size(f) > 0, total / F.size(f)).otherwise(F.lit(0.0))
 
 
-def threshold(docs: DataFrame, labels: DataFrame, ratios: list[float], quantile: float, held_limit: int) -> float:
-    """The score that ``quantile`` of the held-out trusted documents stay under."""
-    held = docs.join(F.broadcast(trusted_ids(labels, True, held_limit)), "doc_id", "left_semi")
-    # no filter by words: it would be pushed below the join, to all documents
-    scored = _hashed(held).withColumn("_f", features(F.col("_words"), len(ratios))).select(F.when(F.size("_f") > 0, mean_ratio(ratios)).alias("score"))
-    at = scored.agg(F.percentile_approx("score", quantile, 10_000)).first()[0]
+def threshold(scored: DataFrame, labels: DataFrame, quantile: float) -> float:
+    """The score that ``quantile`` of the held-out trusted documents stay under, of those with words."""
+    held = scored.where("n_words > 0").select("doc_id", "score").join(trusted_ids(labels, True).hint("merge"), "doc_id", "left_semi")
+    at = held.agg(F.percentile_approx("score", quantile, 10_000)).first()[0]
     return -math.inf if at is None else float(at)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 16, quantile: float = 0.02, min_words: int = 20, max_repeat: int = 30, trusted_limit: int = 20_000, held_limit: int = 5_000) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 16, quantile: float = 0.02, min_words: int = 20, max_repeat: int = 30) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept."""
     docs = docs.select("doc_id", "text")
-    ratios = log_ratios(docs, labels, buckets, trusted_limit)
-    limit = threshold(docs, labels, ratios, quantile, held_limit)
+    ratios = log_ratios(docs, labels, buckets)
     text = F.coalesce("text", F.lit(""))
     df = docs.select("doc_id", text.alias("text")).withColumn("_words", hashes(words(F.col("text"))))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
@@ -141,4 +142,6 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 16, qu
     df = repeat_words(df).withColumn("_f", features(F.col("_words"), buckets))
     df = df.withColumn("score", mean_ratio(ratios))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
-    return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "score", (~failed & (F.col("score") >= F.lit(limit))).alias("kept"))
+    scored = keep(df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "score"), "scores")
+    limit = threshold(scored, labels, quantile)
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(limit)))

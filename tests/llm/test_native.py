@@ -130,3 +130,30 @@ def test_rules_on_no_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_rules(documents(spark, []), labels, buckets=50).collect() == []
     assert all(abs(r.score) < 5 for r in quality_rules(documents(spark), labels, buckets=50).collect())
+
+
+def test_rules_count_every_labelled_row(spark):
+    """More trusted rows than were once fitted on (20,000 and 5,000 held out): score and threshold of all of them."""
+    n = 28_000
+    docs = spark.range(n).selectExpr("id as doc_id", "concat(repeat('a b c ', int(id % 9)), 'w', id % 400, ' x', id % 60) as text")
+    labels = spark.range(n).selectExpr("id as doc_id", "1 as quality")
+    got = {r.doc_id: r for r in quality_rules(docs, labels, buckets=1 << 16, quantile=0.3, min_words=1, max_repeat=100).collect()}
+    mixed = lambda raw, seed=42: xxhash.xxh64(raw, seed=seed % (1 << 64)).intdigest()
+    count = Counter(), Counter()
+    signed = lambda x: (x - (1 << 64) if x >> 63 else x) % (1 << 16)
+    hashes, held = {}, [d for d in range(n) if zlib.crc32(str(d).encode()) % 4 == 3]
+    assert n - len(held) > 20_000 and len(held) > 5_000
+    out = set(held)
+    for d in range(n):
+        ts = ["a", "b", "c"] * (d % 9) + [f"w{d % 400}", f"x{d % 60}"]
+        h = [mixed(t.encode()) for t in ts]
+        hashes[d] = [signed(x) for x in h] + [signed(mixed(b.to_bytes(8, "little"), mixed(a.to_bytes(8, "little")))) for a, b in zip(h, h[1:])]
+        count[0].update(hashes[d])
+        if d not in out:
+            count[1].update(hashes[d])
+    raw, good = (sum(c.values()) + (1 << 16) for c in count)
+    ratio = {b: math.log((count[1][b] + 1) / good) - math.log((count[0][b] + 1) / raw) for b in count[0]}
+    score = {d: sum(ratio[b] for b in f) / len(f) for d, f in hashes.items()}
+    assert max(abs(score[d] - got[d].score) for d in range(n)) < 1e-6
+    limit = sorted(score[d] for d in held)[math.ceil(0.3 * len(held)) - 1]
+    assert all(got[d].kept == (score[d] >= limit) for d in range(n) if abs(score[d] - limit) > 1e-6)
