@@ -1,20 +1,20 @@
 """Quality classifier: interpolated modified Kneser-Ney n-gram model of words over trusted text.
 
 Tokens are words (runs of letters), numbers (all alike) and single signs.  An
-n-gram is a word after the class of the token before it: the ``heads`` most
-frequent words of the trusted text are classes of their own, other words are
-classed by their endings, so there are ``CONTEXTS`` classes whatever the
-corpus holds.  The vocabulary has no bound and grows with the trusted text.
-
-* Counting: tasks add up the n-grams of chunks of trusted text and send them,
-  packed, to the shard of their word; a shard holds its words' counts.  Counts
-  of counts give the discounts, distinct left classes the lower order.
-* Scoring: a chunk of documents looks up the n-grams of head words in a table
-  of ``heads * CONTEXTS`` entries that is shipped, and asks each shard once
-  for its other distinct n-grams, with the documents that hold them.  Shards
-  join the questions with their counts and answer with sums of log
-  probabilities by document, which are added up by chunk.  Frequent words are
-  heads, so no shard is hot; questions are streamed past a shard's counts.
+n-gram is a word after the word before it, or after the start of its text.
+Neither the vocabulary nor the n-grams have a bound; both grow with the trusted
+text.  Words are known by 48 bits of a hash, and so are n-grams.
+
+* Counting: tasks add up the n-grams of chunks of trusted text, which meet by
+  n-gram.  Counts of counts give the discounts, distinct words before a word
+  the lower order.  Joins with the sums of the word before and of the word give
+  each n-gram's value, kept in the shard of its key.
+* Scoring: a chunk of documents looks up the most frequent keys (at most
+  ``LOCAL``) in a table that is shipped, and asks each shard once for its other
+  distinct keys, with the documents that hold them.  Shards join the questions
+  with their entries and answer with sums by document, which are added up by
+  chunk.  Frequent keys are looked up, so no shard is hot; questions are
+  streamed past a shard's entries.
 * A document is rejected if its perplexity exceeds its language's threshold,
   the ``quantile`` of trusted documents that were held out of the counts.
 
@@ -279,6 +279,12 @@ class Model:
 
     spare: float = 1.0  # mass of the lower order that is spread evenly
 
+    def questions(self, extra: list[str]):
+        return _questions(self, extra)
+
+    def answers(self):
+        return _answers(self)
+
     def log(self, count: np.ndarray, left: np.ndarray, lower: np.ndarray) -> np.ndarray:
         own = (count - self.high[np.minimum(count, 3)]) / np.maximum(self.total[left], 1)
         return np.log(np.where(count > 0, own, 0) + self.left[left] * lower)
@@ -324,6 +330,10 @@ def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, n_heads: int = HEADS, shards: int | None = None) -> Model:
+    """A smaller model, of words after the class of the token before; ``classify`` uses ``fit_words``.
+
+    The ``n_heads`` most frequent words are classes of their own, other words are classed by their endings.
+    """
     if not 0 <= n_heads <= HEADS:
         raise ValueError(f"n_heads must be between 0 and {HEADS}")
     texts = trusted_texts(docs, labels)
@@ -429,14 +439,210 @@ def _answers(model: Model):
     return run
 
 
-def perplexities(docs: DataFrame, model: Model, extra: list[str]) -> DataFrame:
+_START = tk.U64((1 << 48) - 1)
+LOCAL = 1 << 17
+
+
+def pair_keys(left: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return tk.mix(tk.mix(left + tk.U64(1)) + words) >> tk.U64(16)
+
+
+def word_keys(words: np.ndarray, kind: int) -> np.ndarray:
+    """Keys of words as tokens (1) and as last tokens of a text (2)."""
+    return tk.mix(words ^ tk.U64(kind * 0x5851F42D4C957F2D)) >> tk.U64(16)
+
+
+def befores(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The word before each word."""
+    left = np.full(len(words), _START, tk.U64)
+    left[1:] = np.where(doc[1:] == doc[:-1], words[:-1], _START)
+    return left
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, words, _, doc in chunks(batches, 0):
+        left = befores(words, doc)
+        order = np.lexsort((words, left))
+        u, w = left[order], words[order]
+        at = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])])) if len(u) else np.zeros(0, np.int64)
+        n = np.diff(np.append(at, len(u)))
+        for i in range(0, len(at), 1 << 16):
+            yield pa.record_batch({"u": u[at[i : i + (1 << 16)]].view(np.int64), "w": w[at[i : i + (1 << 16)]].view(np.int64), "n": n[i : i + (1 << 16)]})
+
+
+@dataclass
+class WordModel:
+    """Log probabilities by key in shards (a table), and a bounded number of the most frequent keys.
+
+    With q the lower order and l(u) the mass that u leaves to it, a token's log
+    probability is log q(w) + log l(u), and for n-grams that were counted the
+    rest, log(1 + own / (l(u) q(w))).  As each token but the last is the next
+    one's context, a text is the sum of log q(w) + log l(w) of its tokens, less
+    log l of the last one, and the rests of its n-grams; what was never counted
+    adds a constant a token.
+    """
+
+    counts: DataFrame  # shard, packed keys and values
+    shards: int
+    unseen: float  # log probability in the lower order of a word without counts
+    start: float  # log of the mass that the start of a text leaves
+    keys: np.ndarray  # most frequent ones, sorted
+    values: np.ndarray
+
+    def questions(self, extra: list[str]):
+        return _word_questions(self, extra)
+
+    def answers(self):
+        return _word_answers
+
+
+def _pack_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by shard and key: rows of at most some 4 million entries, in order."""
+
+    def out(shard: int, parts: list) -> pa.RecordBatch:
+        keys, values = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        return pa.record_batch({"shard": pa.array([shard], pa.int32()), "blob": pa.array([packed(np.diff(keys, prepend=0).astype("<u8"), values.view("<u4"))], pa.binary())})
+
+    now, parts = None, []
+    for batch in batches:
+        shard, key, value = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().astype("<f4")
+        cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(0, np.int64)
+        for x, y in zip(cut.tolist(), np.append(cut[1:], len(shard)).tolist()):
+            if now is not None and int(shard[x]) != now:
+                yield out(now, parts)
+                parts = []
+            now = int(shard[x])
+            parts.append((key[x:y], value[x:y]))
+    if now is not None:
+        yield out(now, parts)
+    tk.release()
+
+
+def fit_words(docs: DataFrame, labels: DataFrame, shards: int | None = None, local: int = LOCAL) -> WordModel:
+    """N-grams of a word after the word before it, counted and joined with their contexts' and words' sums."""
+    texts = trusted_texts(docs, labels)
+    shards = shards or n_shards(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    pairs = keep(texts.mapInArrow(_count_pairs, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n")), "pairs")
+    forget(texts)
+    few = lambda c: [F.count_if(F.col(c) == k).alias(f"n{k}") for k in (1, 2, 3, 4)]
+    of_high = pairs.agg(F.count("*").alias("all"), *few("n")).first()
+    high = discounts([of_high[f"n{k}"] for k in (1, 2, 3, 4)])
+    more = lambda c: (F.when(F.col(c) == 1, 1.0 * high[1]).when(F.col(c) == 2, 1.0 * high[2]).otherwise(1.0 * high[3]))
+    before = pairs.groupBy("u").agg(F.sum("n").alias("total"), F.sum(more("n")).alias("lost")).select("u", "total", (F.col("lost") / F.col("total")).alias("left"))
+    types = keep(pairs.groupBy("w").agg(F.count("*").alias("classes"), F.sum("n").alias("times")), "types")
+    of_low = types.agg(F.count("*").alias("all"), *few("classes")).first()
+    low = discounts([of_low[f"n{k}"] for k in (1, 2, 3, 4)])
+    distinct, every = of_high["all"], of_low["all"]
+    spare = float(low[1:] @ [of_low["n1"], of_low["n2"], every - of_low["n1"] - of_low["n2"]]) / distinct if distinct else 1.0
+    unseen = spare / (every + 1)
+    before = keep(before, "contexts")
+    lower = F.greatest(F.col("classes") - F.when(F.col("classes") == 1, float(low[1])).when(F.col("classes") == 2, float(low[2])).otherwise(float(low[3])), F.lit(0.0)) / max(distinct, 1) + unseen
+    words = types.select("w", "times", lower.alias("q"))
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, w, n, total, left, q = (batch.column(i).to_numpy() for i in range(6))
+            own = (n - high[np.minimum(n, 3)]) / total
+            key = pair_keys(u.view(tk.U64), w.view(tk.U64))
+            yield pa.record_batch({"shard": shard_of(key, shards).astype(np.int32), "key": key.view(np.int64), "value": np.log1p(own / (left * q)), "times": n})
+
+    def tokens_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w, times, q, left = (batch.column(i).to_numpy() for i in range(4))
+            for kind, value in ((1, np.log(q) - np.log(unseen) + np.log(left)), (2, -np.log(left))):
+                key = word_keys(w.view(tk.U64), kind)
+                yield pa.record_batch({"shard": shard_of(key, shards).astype(np.int32), "key": key.view(np.int64), "value": value, "times": times if kind == 1 else np.zeros(len(w), np.int64)})
+
+    schema = "shard int, key long, value double, times long"
+    of_pairs = pairs.join(before.hint("merge"), "u").join(words.select("w", "q").hint("merge"), "w").select("u", "w", "n", "total", "left", "q").mapInArrow(entries, schema)
+    of_words = words.join(before.select(F.col("u").alias("w"), "left").hint("merge"), "w", "left").select("w", "times", "q", F.coalesce("left", F.lit(1.0)).alias("left")).mapInArrow(tokens_, schema)
+    table = keep(of_pairs.unionAll(of_words), "entries")
+    often = table.orderBy(F.desc("times"), "key").select("key", "value").limit(local).toArrow()
+    keys, values = often["key"].to_numpy().view(tk.U64), often["value"].to_numpy().astype(np.float32)
+    order = np.argsort(keys, kind="stable")
+    first = before.where(F.col("u") == int(_START)).first()
+    counts = keep(table.select("shard", "key", "value").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "key").mapInArrow(_pack_shards, "shard int, blob binary"), "counts")
+    for done in (pairs, types, before, table):
+        forget(done)
+    let_go(docs.sparkSession)
+    return WordModel(counts, shards, float(np.log(unseen)), float(np.log(first.left)) if first else 0.0, keys[order], values[order])
+
+
+def _word_questions(model: WordModel, extra: list[str]):
+    """Rows as of ``_questions``: each shard is asked for keys that a chunk has and the task does not, by document."""
+    shards, unseen, start, local, values = model.shards, model.unseen, model.start, model.keys, model.values
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        where = task.partitionId() if task else 0
+        for number, (rows, words, _, doc) in enumerate(chunks(batches, len(extra))):
+            n_docs = len(rows)
+            chunk = f"{where}-{number}-{zlib.crc32(words.tobytes())}-{n_docs}"
+            last = np.flatnonzero(np.append(doc[1:] != doc[:-1], True)) if len(words) else np.zeros(0, np.int64)
+            keys = np.concatenate([pair_keys(befores(words, doc), words), word_keys(words, 1), word_keys(words[last], 2)])
+            who = np.concatenate([doc, doc, doc[last]])
+            n = np.bincount(doc, minlength=n_docs)
+            sums = n * unseen + (n > 0) * start
+            if len(local) and len(keys):
+                at = np.minimum(np.searchsorted(local, keys), len(local) - 1)
+                known = local[at] == keys
+                sums = sums + np.bincount(who[known], values[at[known]].astype(float), minlength=n_docs)
+                keys, who = keys[~known], who[~known]
+            seen, inverse = np.unique(keys, return_inverse=True)
+            code, times = np.unique(inverse * n_docs + who, return_counts=True)
+            begin = np.searchsorted(code, np.arange(len(seen) + 1) * n_docs)
+            out = []
+            for s, a, b in slices(seen, shards):
+                part, k = code[begin[a] : begin[b]], times[begin[a] : begin[b]]
+                out.append((s, packed(np.diff(seen[a:b], prepend=tk.U64(0)).astype("<u8"), np.diff(begin[a : b + 1]).astype("<u4"), (part % n_docs).astype("<u2"), k.astype("<u4"))))
+            own = pa.StructArray.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in rows.columns[: len(extra)]], names=extra)
+            spread = np.full(n_docs, (where + number) % shards, np.int32)
+            yield pa.record_batch({"chunk": [chunk] * n_docs, "shard": spread, "blob": pa.nulls(n_docs, pa.binary()), "at": pa.array(np.arange(n_docs, dtype=np.int32)), "n": n, "sum": sums, "asked": np.full(n_docs, len(out), np.int32), "own": own})
+            for at in range(0, len(out), 64):
+                group = out[at : at + 64]
+                k = len(group)
+                yield pa.record_batch({"chunk": [chunk] * k, "shard": pa.array([s for s, _ in group], pa.int32()), "blob": pa.array([x for _, x in group], pa.binary()), "at": pa.nulls(k, pa.int32()), "n": pa.nulls(k, pa.int64()), "sum": pa.nulls(k, pa.float64()), "asked": pa.nulls(k, pa.int32()), "own": pa.nulls(k, own.type)})
+
+    return run
+
+
+def _word_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by shard, its entries first: sums of values by document of each question."""
+    now, keys, values = None, np.zeros(0, tk.U64), np.zeros(0, np.float32)
+    for batch in batches:
+        answers, through = [], batch.filter(batch.column(3).is_valid())
+        if len(through):
+            yield through
+        asking = batch.filter(batch.column(3).is_null())
+        for chunk, shard, blob in zip(asking.column(0).to_pylist(), asking.column(1).to_pylist(), asking.column(2)):
+            parts = unpacked(blob.as_py())
+            if shard != now:  # a shard without entries answers as well
+                now, keys, values = shard, np.zeros(0, tk.U64), np.zeros(0, np.float32)
+            if chunk is None:
+                keys, values = np.cumsum(parts[0], dtype=tk.U64), parts[1].view("<f4")
+                continue
+            asked, each, doc, times = np.cumsum(parts[0], dtype=tk.U64), parts[1].astype(np.int64), parts[2].astype(np.int64), parts[3].astype(float)
+            sums = np.zeros(0)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                value = np.where(keys[at] == asked, values[at], 0).astype(float)
+                sums = np.bincount(doc, np.repeat(value, each) * times)
+            docs = np.flatnonzero(sums)
+            answers.append((chunk, shard, packed(docs.astype("<u2"), sums[docs].astype("<f4").view("<u4"))))
+        if answers:
+            rest = {f.name: pa.nulls(len(answers), f.type) for f in list(batch.schema)[3:]}
+            yield pa.record_batch({"chunk": [x[0] for x in answers], "shard": pa.array([x[1] for x in answers], pa.int32()), "blob": pa.array([x[2] for x in answers], pa.binary()), **rest})
+    tk.release()
+
+
+def perplexities(docs: DataFrame, model: Model | WordModel, extra: list[str]) -> DataFrame:
     """``extra`` columns, n_tokens and perplexity (null for no tokens) of each row."""
     own = docs.select(*extra, "text")
     kinds = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in own.schema[:-1])
     schema = f"chunk string, shard int, blob binary, at int, n long, sum double, asked int, own struct<{kinds}>"
-    asked = own.mapInArrow(_questions(model, extra), schema)
+    asked = own.mapInArrow(model.questions(extra), schema)
     counts = model.counts.select(F.lit(None).cast("string").alias("chunk"), "shard", "blob", *(F.lit(None).cast(t).alias(c) for c, t in asked.dtypes[3:]))
-    answers = counts.unionAll(asked).repartitionById(model.shards, F.col("shard")).sortWithinPartitions("shard", F.col("chunk").asc_nulls_first()).mapInArrow(_answers(model), schema)
+    answers = counts.unionAll(asked).repartitionById(model.shards, F.col("shard")).sortWithinPartitions("shard", F.col("chunk").asc_nulls_first()).mapInArrow(model.answers(), schema)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by chunk, its answers first, in the order of shards."""
@@ -478,7 +684,7 @@ def limits(scores: DataFrame, labels: DataFrame, quantile: float, least: int) ->
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.975, least: int = 30, extra: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, lang, n_tokens, perplexity, limit and kept, and the columns ``extra``."""
-    model = fit(docs, labels)
+    model = fit_words(docs, labels)
     scores = keep(perplexities(docs, model, ["doc_id", "lang", *extra]), "perplexities")
     forget(model.counts)
     let_go(docs.sparkSession)

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from filigree.llm import textkit as tk
-from filigree.llm.kneser_ney import ENDINGS, classify, fit, keep_good, n_shards, packed, perplexities, tokens, unpacked
+from filigree.llm.kneser_ney import ENDINGS, classify, fit, fit_words, keep_good, n_shards, packed, perplexities, tokens, unpacked
 
 from .corpus import SCHEMA, documents, pairs, prose
 
@@ -137,3 +137,29 @@ def test_no_labels_and_no_rows(spark):
     docs = corpus(spark)[0]
     assert all(r.kept == (r.n_tokens > 0) for r in classify(docs, labels).collect())
     assert classify(documents(spark, []), labels).collect() == []
+
+
+@pytest.mark.parametrize("local", [0, 40])
+def test_words_follow_words(spark, local):
+    """Every word is a context of its own, whatever its frequency: the plain version with all words as heads."""
+    docs, labels = corpus(spark)
+    trusted = [t for d, t in pairs(docs) if d is not None and d < 160 and d % 8 != 7 and d != 6 and t is not None and zlib.crc32(str(d).encode()) % 4 != 3]
+    every = {w for t in texts_of(docs) for w in plain_tokens(t)}
+    p = plain_model(trusted, every)
+    texts = dict(pairs(docs))
+    got = perplexities(docs, fit_words(docs, labels, shards=3, local=local), ["doc_id"]).collect()
+    assert len(got) == 164
+    assert all(r.perplexity == pytest.approx(p(texts[r.doc_id]), rel=1e-4) for r in got if r.doc_id is not None and r.n_tokens)
+
+
+def test_rare_words_are_contexts_in_the_query(spark):
+    """Contexts that end alike, each rarer than the 1,000 most frequent words: only one of them was followed by the word."""
+    usual = " ".join(f"{a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOP")
+    rows = [(i, usual, "en", "s") for i in range(4)] + [(10, "firstxx alpha " * 3, "en", "s"), (11, "secondxx beta " * 3, "en", "s"), (20, "firstxx alpha", "en", "s"), (21, "secondxx alpha", "en", "s")]
+    labels = spark.createDataFrame([(i, 1) for i in (0, 1, 2, 3, 10, 11)], "doc_id long, quality int")
+    got = {r.doc_id: r.perplexity for r in classify(documents(spark, rows), labels).collect()}
+    assert got[20] * 1.5 < got[21]
+
+
+def texts_of(docs):
+    return [t for _, t in pairs(docs)]
