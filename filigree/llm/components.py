@@ -69,27 +69,33 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars(held)
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, max_rounds: int = 60, local: int = _CHUNK) -> DataFrame:
     """(node, component) of all nodes of ``links`` (a, b longs); the component is its least node.
 
-    Each round first contracts the edges that lie together in a task, then
-    makes two stars over all; rounds are logarithmic in the longest path at
-    most.  Tables are written between rounds, so lineage stays short and lost
+    The edges that lie together in a task are contracted first.  Once a count
+    shows at most ``local`` edges (``_CHUNK`` at most), one task contracts them
+    all; until then each round makes two stars over all and contracts again, so
+    rounds are logarithmic in the longest path at most.  Both give the same
+    result.  Tables are written between rounds, so lineage stays short and lost
     executors cost one round at most.
     """
-    oriented = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = keep(oriented.mapInArrow(_contract, "a long, b long"), "links")
+    now = keep(links.where("a <> b").select("a", "b").mapInArrow(_contract, "a long, b long"), "links")
     mark = None
     for _ in range(max_rounds):
+        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
+        if seen == mark:
+            break
+        mark = seen
+        if seen.n <= min(local, _CHUNK):
+            small = keep(now.coalesce(1).mapInArrow(_contract, "a long, b long"), "small")
+            forget(now)
+            now = small
+            break
         large = keep(_star(now, True), "large")
         small = keep(_star(large, False).mapInArrow(_contract, "a long, b long"), "small")
         forget(now)
         forget(large)
         now = small
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
-        if seen == mark:
-            break
-        mark = seen
     else:
         raise RuntimeError("components did not settle")
     let_go(links.sparkSession)  # each round has left the files of some ten exchanges

@@ -74,6 +74,23 @@ def test_components_of_paths_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_few_links_are_contracted_at_once(spark, monkeypatch):
+    """Links that fit a task need no rounds over all tables; those that do not give the same components."""
+    from filigree.llm import components as module
+
+    r = random.Random(4)
+    links = [(i, i + 1) for i in range(120)] + [(r.randrange(200, 400), r.randrange(200, 400)) for _ in range(110)] + [(900, 500), (500, 900), (3, 3)]
+    made = spark.createDataFrame(links, "a long, b long").repartition(7)
+    in_rounds = sorted(map(tuple, components(made, local=0).collect()))
+
+    def no_round(*_):
+        raise AssertionError("a round")
+
+    monkeypatch.setattr(module, "_star", no_round)
+    assert sorted(map(tuple, components(made).collect())) == in_rounds
+    assert len(in_rounds) == len({x for link in links if link[0] != link[1] for x in link})
+
+
 def test_one_of_each_group_stays(spark):
     docs = documents(spark)
     joined = jaccard_join(docs)
