@@ -8,13 +8,15 @@ text.  Words are known by 48 bits of a hash, and so are n-grams.
 * Counting: tasks add up the n-grams of chunks of trusted text, which meet by
   n-gram.  Counts of counts give the discounts, distinct words before a word
   the lower order.  Joins with the sums of the word before and of the word give
-  each n-gram's value, kept in the shard of its key.
+  each n-gram's value, kept in the shard of its key; n-grams are joined in
+  ``PARTS`` parts, one after the other, which bounds the disk.
 * Scoring: a chunk of documents looks up the most frequent keys (at most
   ``LOCAL``) in a table that is shipped, and asks each shard once for its other
   distinct keys, with the documents that hold them.  Shards join the questions
   with their entries and answer with sums by document, which are added up by
   chunk.  Frequent keys are looked up, so no shard is hot; questions are
-  streamed past a shard's entries.
+  streamed past a shard's entries.  All documents are scored, in ``SCORED``
+  parts by a hash of the row, which changes no score.
 * A document is rejected if its perplexity exceeds its language's threshold,
   the ``quantile`` of trusted documents that were held out of the counts.
 
@@ -35,6 +37,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -324,7 +327,7 @@ def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     own = docs.where("doc_id is not null").select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("i"), "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = keep(own.mapInArrow(likely, f"doc_id {kind}, text string").join(ids.hint("merge"), "doc_id").select("text"), "trusted-texts")
+    texts = keep(own.mapInArrow(likely, f"doc_id {kind}, text string").join(ids.hint("merge"), "doc_id").select("text"), "trusted-texts", drop_shuffles=True)
     forget(ids)
     return texts
 
@@ -441,6 +444,8 @@ def _answers(model: Model):
 
 _START = tk.U64((1 << 48) - 1)
 LOCAL = 1 << 17
+#: Entries are made, and documents scored, in so many parts one after the other: the shuffle files of one are on disk at a time.
+PARTS, SCORED = 4, 4
 
 
 def pair_keys(left: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -482,13 +487,17 @@ class WordModel:
     adds a constant a token.
     """
 
-    counts: DataFrame  # shard, packed keys and values
+    made: list[DataFrame]  # shard, packed keys and values
     shards: int
     unseen: float  # log probability in the lower order of a word without counts
     start: float  # log of the mass that the start of a text leaves
     keys: np.ndarray  # most frequent ones, sorted
     values: np.ndarray
 
+    @property
+    def counts(self) -> DataFrame:
+        return reduce(DataFrame.unionAll, self.made)
+
     def questions(self, extra: list[str]):
         return _word_questions(self, extra)
 
@@ -497,7 +506,7 @@ class WordModel:
 
 
 def _pack_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by shard and key: rows of at most some 4 million entries, in order."""
+    """Rows come sorted by shard and key: a row a shard, its entries in order."""
 
     def out(shard: int, parts: list) -> pa.RecordBatch:
         keys, values = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
@@ -518,11 +527,11 @@ def _pack_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tk.release()
 
 
-def fit_words(docs: DataFrame, labels: DataFrame, shards: int | None = None, local: int = LOCAL) -> WordModel:
+def fit_words(docs: DataFrame, labels: DataFrame, shards: int | None = None, local: int = LOCAL, parts: int = PARTS) -> WordModel:
     """N-grams of a word after the word before it, counted and joined with their contexts' and words' sums."""
     texts = trusted_texts(docs, labels)
     shards = shards or n_shards(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    pairs = keep(texts.mapInArrow(_count_pairs, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n")), "pairs")
+    pairs = keep(texts.mapInArrow(_count_pairs, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n")), "pairs", drop_shuffles=True)
     forget(texts)
     few = lambda c: [F.count_if(F.col(c) == k).alias(f"n{k}") for k in (1, 2, 3, 4)]
     of_high = pairs.agg(F.count("*").alias("all"), *few("n")).first()
@@ -544,28 +553,41 @@ def fit_words(docs: DataFrame, labels: DataFrame, shards: int | None = None, loc
             u, w, n, total, left, q = (batch.column(i).to_numpy() for i in range(6))
             own = (n - high[np.minimum(n, 3)]) / total
             key = pair_keys(u.view(tk.U64), w.view(tk.U64))
-            yield pa.record_batch({"shard": shard_of(key, shards).astype(np.int32), "key": key.view(np.int64), "value": np.log1p(own / (left * q)), "times": n})
+            yield pa.record_batch({"shard": shard_of(key, shards).astype(np.int32), "key": key.view(np.int64), "value": np.log1p(own / (left * q)).astype(np.float32)})
 
     def tokens_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w, times, q, left = (batch.column(i).to_numpy() for i in range(4))
+            w, q, left = (batch.column(i).to_numpy() for i in range(3))
             for kind, value in ((1, np.log(q) - np.log(unseen) + np.log(left)), (2, -np.log(left))):
                 key = word_keys(w.view(tk.U64), kind)
-                yield pa.record_batch({"shard": shard_of(key, shards).astype(np.int32), "key": key.view(np.int64), "value": value, "times": times if kind == 1 else np.zeros(len(w), np.int64)})
-
-    schema = "shard int, key long, value double, times long"
-    of_pairs = pairs.join(before.hint("merge"), "u").join(words.select("w", "q").hint("merge"), "w").select("u", "w", "n", "total", "left", "q").mapInArrow(entries, schema)
-    of_words = words.join(before.select(F.col("u").alias("w"), "left").hint("merge"), "w", "left").select("w", "times", "q", F.coalesce("left", F.lit(1.0)).alias("left")).mapInArrow(tokens_, schema)
-    table = keep(of_pairs.unionAll(of_words), "entries")
-    often = table.orderBy(F.desc("times"), "key").select("key", "value").limit(local).toArrow()
-    keys, values = often["key"].to_numpy().view(tk.U64), often["value"].to_numpy().astype(np.float32)
+                yield pa.record_batch({"shard": shard_of(key, shards).astype(np.int32), "key": key.view(np.int64), "value": value.astype(np.float32)})
+
+    schema = "shard int, key long, value float"
+
+    def of_pairs(some: DataFrame) -> DataFrame:
+        return some.join(before.hint("merge"), "u").join(words.select("w", "q").hint("merge"), "w").select("u", "w", "n", "total", "left", "q").mapInArrow(entries, schema)
+
+    def of_words(some: DataFrame) -> DataFrame:
+        return some.join(before.select(F.col("u").alias("w"), "left").hint("merge"), "w", "left").select("w", "q", F.coalesce("left", F.lit(1.0)).alias("left")).mapInArrow(tokens_, schema)
+
+    # The most frequent keys are those found more often than the one at place ``local``.
+    top = pairs.select("n").unionAll(types.select(F.col("times").alias("n"))).orderBy(F.desc("n")).limit(local).agg(F.count("*").alias("all"), F.min("n").alias("n")).first()
+    least = top["n"] if top["all"] == local and local else 0
+    often = of_pairs(pairs.where(F.col("n") > least)).unionAll(of_words(words.where(F.col("times") > least))).select("key", "value").toArrow() if local else None
+    keys = often["key"].to_numpy().view(tk.U64) if often else np.zeros(0, tk.U64)
+    values = often["value"].to_numpy() if often else np.zeros(0, np.float32)
     order = np.argsort(keys, kind="stable")
     first = before.where(F.col("u") == int(_START)).first()
-    counts = keep(table.select("shard", "key", "value").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "key").mapInArrow(_pack_shards, "shard int, blob binary"), "counts")
-    for done in (pairs, types, before, table):
+    made, parts = [], max(1, min(parts, shards))
+    let_go(docs.sparkSession)
+    for part in range(parts):
+        some = of_pairs(pairs.where(F.pmod(F.xxhash64("u", "w"), F.lit(parts)) == part))
+        table = some if part else some.unionAll(of_words(words))
+        made.append(keep(table.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "key").mapInArrow(_pack_shards, "shard int, blob binary"), "counts", drop_shuffles=True))
+    for done in (pairs, types, before):
         forget(done)
     let_go(docs.sparkSession)
-    return WordModel(counts, shards, float(np.log(unseen)), float(np.log(first.left)) if first else 0.0, keys[order], values[order])
+    return WordModel(made, shards, float(np.log(unseen)), float(np.log(first.left)) if first else 0.0, keys[order], values[order])
 
 
 def _word_questions(model: WordModel, extra: list[str]):
@@ -618,8 +640,10 @@ def _word_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             parts = unpacked(blob.as_py())
             if shard != now:  # a shard without entries answers as well
                 now, keys, values = shard, np.zeros(0, tk.U64), np.zeros(0, np.float32)
-            if chunk is None:
-                keys, values = np.cumsum(parts[0], dtype=tk.U64), parts[1].view("<f4")
+            if chunk is None:  # a row a part
+                keys, values = np.concatenate([keys, np.cumsum(parts[0], dtype=tk.U64)]), np.concatenate([values, parts[1].view("<f4")])
+                order = np.argsort(keys, kind="stable")
+                keys, values = keys[order], values[order]
                 continue
             asked, each, doc, times = np.cumsum(parts[0], dtype=tk.U64), parts[1].astype(np.int64), parts[2].astype(np.int64), parts[3].astype(float)
             sums = np.zeros(0)
@@ -685,9 +709,13 @@ def limits(scores: DataFrame, labels: DataFrame, quantile: float, least: int) ->
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.975, least: int = 30, extra: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, lang, n_tokens, perplexity, limit and kept, and the columns ``extra``."""
     model = fit_words(docs, labels)
-    scores = keep(perplexities(docs, model, ["doc_id", "lang", *extra]), "perplexities")
-    forget(model.counts)
-    let_go(docs.sparkSession)
+    scores, parts = [], min(SCORED, model.shards)
+    for part in range(parts):
+        some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) == part) if parts > 1 else docs
+        scores.append(keep(perplexities(some, model, ["doc_id", "lang", *extra]), "perplexities", drop_shuffles=True))
+    scores = reduce(DataFrame.unionAll, scores)
+    for done in model.made:
+        forget(done)
     by_lang, every = limits(scores, labels, quantile, least)
     keyed = scores.withColumn("lang_key", F.coalesce("lang", F.lit(""))).join(by_lang, "lang_key", "left")
     limit = F.coalesce("limit", F.lit(every))

@@ -38,11 +38,21 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back."""
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def keep(df: DataFrame, name: str, drop_shuffles: bool = False) -> DataFrame:
+    """Write ``df`` once and read it back; with ``drop_shuffles`` Spark deletes the write's shuffle files when it ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/filigree-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    if drop_shuffles:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if drop_shuffles:
+            spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
     out._filigree_path = path
     return out

@@ -162,5 +162,21 @@ def test_rare_words_are_contexts_in_the_query(spark):
     assert got[200] * 1.5 < got[201]
 
 
+def test_parts_bound_the_disk_and_change_no_score(spark, monkeypatch):
+    """Entries and scores are made a part at a time, whose shuffle files go when it is written."""
+    from filigree.llm import kneser_ney
+
+    docs, labels = corpus(spark)
+    want = {(r.doc_id, r.n_tokens): (r.kept, r.perplexity) for r in classify(docs, labels, least=5).collect()}
+    made, keep = [], kneser_ney.keep
+    monkeypatch.setattr(kneser_ney, "keep", lambda df, name, **k: made.append((name, k.get("drop_shuffles"))) or keep(df, name, **k))
+    monkeypatch.setattr(kneser_ney, "n_shards", lambda _: 3)
+    got = classify(docs, labels, least=5).collect()
+    assert made.count(("counts", True)) == 3 and made.count(("perplexities", True)) == 3 and ("pairs", True) in made
+    assert len(got) == 164
+    assert all(r.kept == want[r.doc_id, r.n_tokens][0] and r.perplexity == pytest.approx(want[r.doc_id, r.n_tokens][1]) for r in got)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
 def texts_of(docs):
     return [t for _, t in pairs(docs)]
