@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cache
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.expr import EdgeExpr, NodeExpr, as_column, feature_name, has_all
+from .plans.lineage import hint, keep
 from .schema import EDGES, NODES, Attributes, decode_attr, encode_map
 
 
@@ -19,22 +21,33 @@ class PropertyGraph:
     Every operation returns a new graph.  ``seq`` is insertion order, which
     decides between equal choices in traversals.  Parallel edges and loops are
     allowed; edges may dangle, traversals stay inside the graph.
+
+    ``edges`` may be a function that makes them when they are first asked for.
+    ``leaving`` is ``out_edges`` of a source that can find a few ids' edges
+    without placing all edges.
     """
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame, meta: dict[str, Any] | None = None, handlers: Any = None):
-        self.nodes, self.edges, self.meta = nodes, edges, dict(meta or {})
+    def __init__(self, nodes: DataFrame, edges: DataFrame | Callable[[], DataFrame], meta: dict[str, Any] | None = None, handlers: Any = None, leaving: Callable[[DataFrame, bool], DataFrame] | None = None):
+        self.nodes, self._edges, self.leaving, self.meta = nodes, edges, leaving, dict(meta or {})
         if handlers is None:
             from .operators.mutate import Handlers
 
             handlers = Handlers()
         self.handlers = handlers
 
+    @property
+    def edges(self) -> DataFrame:
+        if not isinstance(self._edges, DataFrame):
+            self._edges = self._edges()
+        return self._edges
+
     @property
     def spark(self) -> SparkSession:
         return self.nodes.sparkSession
 
-    def replace(self, nodes: DataFrame | None = None, edges: DataFrame | None = None, meta: dict[str, Any] | None = None) -> PropertyGraph:
-        return PropertyGraph(self.nodes if nodes is None else nodes, self.edges if edges is None else edges, self.meta if meta is None else meta, self.handlers)
+    def replace(self, nodes: DataFrame | None = None, edges: DataFrame | Callable[[], DataFrame] | None = None, meta: dict[str, Any] | None = None) -> PropertyGraph:
+        leaving = self.leaving if edges is None else None
+        return PropertyGraph(self.nodes if nodes is None else nodes, self._edges if edges is None else edges, self.meta if meta is None else meta, self.handlers, leaving)
 
     # construction
 
@@ -204,7 +217,7 @@ class PropertyGraph:
         if predicate is None and not wanted:
             raise ValueError("a predicate or keyword criteria are needed")
         if predicate is not None:
-            return self.induced(self.where_nodes(predicate).select("id"))
+            return self._among(self.where_nodes(predicate))
         if "ids" in wanted or "id" in wanted:
             ids = list(dict.fromkeys(wanted["ids"] if "ids" in wanted else [wanted["id"]]))
             named = self.spark.createDataFrame([(i,) for i in ids], "id string")
@@ -212,15 +225,27 @@ class PropertyGraph:
             if lost:
                 raise ValueError(f"Node with id '{lost.id}' not found")
             return self.induced(named)
-        return self.induced(self.nodes.where(has_all(Attributes(self.nodes.schema), wanted)).select("id"))
+        return self._among(self.nodes.where(has_all(Attributes(self.nodes.schema), wanted)))
 
     def induced(self, ids: DataFrame) -> PropertyGraph:
         """Nodes named in ``ids`` and the edges between them."""
-        ids = ids.select("id")
-        edges = self.edges
-        for side in ("src", "dst"):
-            edges = edges.join(ids.select(F.col("id").alias(side)), side, "left_semi")
-        return self.replace(self.nodes.join(ids, "id", "left_semi"), edges.select(self.edges.columns))
+        return self._among(self.nodes.join(ids.select("id"), "id", "left_semi"))
+
+    def _among(self, nodes: DataFrame) -> PropertyGraph:
+        """Some of the nodes and the edges between them; their ids are written once, when the edges are first asked for."""
+
+        @cache
+        def edges() -> DataFrame:
+            ids = keep(nodes.select("id"), "ids")
+            return self.out_edges(ids).join(hint(ids).select(F.col("id").alias("dst")), "dst", "left_semi").select(self.edges.columns)
+
+        return self.replace(nodes, edges)
+
+    def out_edges(self, ids: DataFrame, placed: bool = True) -> DataFrame:
+        """The edges whose source is in ``ids``, a kept table; without ``placed`` nobody will ask for their ``seq``."""
+        if self.leaving is not None:
+            return self.leaving(ids, placed)
+        return self.edges.join(hint(ids).select(F.col("id").alias("src")), "src", "left_semi").select(self.edges.columns)
 
     def prune(self) -> tuple[PropertyGraph, int]:
         """Without dangling edges, and how many ends were cut: out-edges whose target and in-edges whose source is absent."""

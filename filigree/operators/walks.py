@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph
-from ..plans.lineage import keep
+from ..plans.lineage import hint, keep, size
 from ..schema import Attributes
 
 
@@ -58,13 +58,12 @@ def random_walks(
     """
     _check(graph, start, max_length, min_length, stratified)
     kind = F.coalesce(Attributes(graph.edges.schema).text(edge_type_field), F.lit("unknown"))
-    ids = graph.nodes.select(F.col("id").alias("dst"))
-    edges = graph.edges.select("src", "dst", "seq", kind.alias("kind")).join(ids, "dst", "left_semi")
-    lists = edges.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("seq", "dst", "kind"))).alias("out"))
     if stratified and mode == "exact":
+        edges = graph.edges.select("src", "dst", "seq", kind.alias("kind")).join(graph.nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
+        lists = edges.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("seq", "dst", "kind"))).alias("out"))
         walks = _sequential(graph, lists, start, max_length, num_attempts, allow_revisit, seed)
     else:
-        walks = _together(graph, lists.persist(), start, max_length, num_attempts, allow_revisit, seed, stratified)
+        walks = _together(graph, kind, start, max_length, num_attempts, allow_revisit, seed, stratified)
     walks = walks.where(F.size("path") >= min_length)
     first = Window.partitionBy("path", *(["types"] if include_edge_types else [])).orderBy("attempt")
     walks = walks.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
@@ -72,7 +71,7 @@ def random_walks(
     return walks.withColumn("walk", mixed if include_edge_types else F.col("path"))
 
 
-def _together(graph: PropertyGraph, lists: DataFrame, start: str | None, max_length: int, attempts: int, revisit: bool, seed: int, balanced: bool) -> DataFrame:
+def _together(graph: PropertyGraph, kind: Column, start: str | None, max_length: int, attempts: int, revisit: bool, seed: int, balanced: bool) -> DataFrame:
     spark = graph.spark
     begin = spark.range(attempts).select(F.col("id").alias("attempt"))
     if start is None:
@@ -83,36 +82,61 @@ def _together(graph: PropertyGraph, lists: DataFrame, start: str | None, max_len
         walks = begin.withColumn("k", F.col("attempt") % numbered.count()).join(numbered, "k").select("attempt", F.array("id").alias("path"), F.array().cast("array<string>").alias("types"))
     else:
         walks = begin.select("attempt", F.array(F.lit(start)).alias("path"), F.array().cast("array<string>").alias("types"))
-    walks = walks.withColumn("open", F.lit(True))
+    walks = keep(walks.withColumn("open", F.lit(True)), "walks")
+    whole = None  # of a graph that can't find a node's edges without all of them, what a step needs is written once
+    if max_length > 2 and graph.leaving is None:
+        whole = graph.replace(edges=keep(graph.edges.select("src", "dst", "seq", kind.alias("kind")), "edges"))
     for step in range(1, max_length):
-        options = F.coalesce(F.col("out"), F.array().cast(lists.schema["out"].dataType))
-        if not revisit:
-            options = F.filter(options, lambda e: ~F.array_contains(F.col("path"), e["dst"]))
-        near = walks.withColumn("src", F.element_at("path", -1)).join(lists, "src", "left").withColumn("options", F.when(F.col("open"), options))
-        size = F.size("options")
+        ends = keep(walks.where("open").select(F.element_at("path", -1).alias("id")).distinct(), "ends")
+        if not size(ends):
+            break
+        out = whole.out_edges(ends) if whole else graph.out_edges(ends).select("src", "dst", "seq", kind.alias("kind"))
+        out = _inside(graph, keep(out, "out"))
+        near = hint(walks).withColumn("src", F.when(F.col("open"), F.element_at("path", -1)))
         if balanced:
             visits = walks.select(F.explode("path").alias("dst")).groupBy("dst").agg(F.count("*").alias("v"))
-            each = near.where(size > 0).select("attempt", F.explode("options").alias("e")).select("attempt", "e", F.col("e.dst").alias("dst")).join(visits, "dst", "left")
+            each = near.join(out, "src")
+            if not revisit:
+                each = each.where(~F.array_contains("path", F.col("dst")))
+            each = each.select("attempt", F.struct("seq", "dst", "kind").alias("e"), "dst").join(visits, "dst", "left")
             # exponential race: the least of -log(u) * (1 + visits) wins with weight 1 / (1 + visits)
             u = (pick(seed, F.concat_ws("/", "attempt", F.col("e.seq")), step, F.lit(1 << 30)) + 1) / F.lit(float(1 << 30))
             chosen = each.groupBy("attempt").agg(F.min_by("e", -F.log(u) * (1 + F.coalesce("v", F.lit(0)))).alias("e"))
-            near = near.join(chosen, "attempt", "left")
         else:
-            near = near.withColumn("e", F.when(size > 0, F.get("options", pick(seed, F.col("attempt"), step, F.greatest(size, F.lit(1))).cast("int"))))
+            # an end's edges are numbered once for all walks there; a walk steps over the numbers of those to nodes it has met
+            out = keep(out.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy("seq", "dst", "kind")) - 1), "numbered")
+            choices = near.where("open").join(hint(keep(out.groupBy("src").agg(F.count("*").alias("n")), "sizes")), "src").select("attempt", "path", "src", "n")
+            if revisit:
+                choices = choices.withColumn("met", F.array().cast("array<int>"))
+            else:
+                # an end of many edges may be met by many walks, so what they have met is looked up from their side
+                past = keep(near.where("open").select("attempt", "src", F.explode("path").alias("dst")).distinct(), "past")
+                met = out.join(hint(past), ["src", "dst"]).groupBy("attempt").agg(F.sort_array(F.collect_list("r")).alias("met"))
+                choices = choices.join(met, "attempt", "left").withColumn("met", F.coalesce("met", F.array().cast("array<int>")))
+            left = F.col("n") - F.size("met")
+            place = F.aggregate("met", pick(seed, F.col("attempt"), step, F.greatest(left, F.lit(1))).cast("int"), lambda at, x: F.when(x <= at, at + 1).otherwise(at))
+            places = keep(choices.where(left > 0).select("attempt", "src", place.alias("r")), "places")
+            chosen = out.join(hint(places), ["src", "r"]).select("attempt", F.struct("seq", "dst", "kind").alias("e"))
         go = F.col("e").isNotNull()
-        walks = near.select(
-            "attempt",
-            F.when(go, F.concat("path", F.array("e.dst"))).otherwise(F.col("path")).alias("path"),
-            F.when(go, F.concat("types", F.array("e.kind"))).otherwise(F.col("types")).alias("types"),
-            go.alias("open"),
+        walks = keep(
+            walks.join(hint(keep(chosen, "chosen")), "attempt", "left").select(
+                "attempt",
+                F.when(go, F.concat("path", F.array("e.dst"))).otherwise(F.col("path")).alias("path"),
+                F.when(go, F.concat("types", F.array("e.kind"))).otherwise(F.col("types")).alias("types"),
+                go.alias("open"),
+            ),
+            "walks",
         )
-        if step % 4 == 0 or balanced:
-            walks = keep(walks, "walks")
-            if walks.where("open").isEmpty():
-                break
     return walks.select("attempt", "path", "types")
 
 
+def _inside(graph: PropertyGraph, out: DataFrame) -> DataFrame:
+    """Edges of a kept table whose target is a node of the graph."""
+    met = keep(out.select(F.col("dst").alias("id")).distinct(), "met")
+    nodes = keep(graph.nodes.select("id").join(hint(met), "id", "left_semi"), "inside")
+    return out.join(hint(nodes).select(F.col("id").alias("dst")), "dst", "left_semi")
+
+
 def _sequential(graph: PropertyGraph, lists: DataFrame, start: str | None, max_length: int, attempts: int, revisit: bool, seed: int) -> DataFrame:
     """Each choice depends on all before it, so all walks are one task's work."""
     import pandas as pd

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -58,6 +59,26 @@ def keep(df: DataFrame, name: str, drop_shuffles: bool = False) -> DataFrame:
     return out
 
 
+#: Rows of a kept table that may be broadcast; they are counted, not guessed.
+FEW = 100_000
+
+
+def size(kept: DataFrame) -> int:
+    """How many rows a table made by ``keep`` has; counted once."""
+    if not hasattr(kept, "_filigree_rows"):
+        kept._filigree_rows = kept.count()
+    return kept._filigree_rows
+
+
+def is_few(kept: DataFrame) -> bool:
+    return size(kept) <= FEW
+
+
+def hint(kept: DataFrame) -> DataFrame:
+    """A kept table, to be broadcast if its rows are few."""
+    return F.broadcast(kept) if is_few(kept) else kept
+
+
 def forget(df: DataFrame | None) -> None:
     """Delete a table made by ``keep`` that nothing reads any more."""
     path = getattr(df, "_filigree_path", None)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph
-from ..plans.lineage import ready
+from ..plans.lineage import hint, is_few, keep, ready
 
 NODE_ATTR = "struct<type:string,name:string,segment:string,status:string,balance:double,price:double,size:int>"
 EDGE_ATTR = "struct<type:string,quantity:double,price:double>"
@@ -51,18 +51,43 @@ def commerce(spark: SparkSession, sf_dir: str, reverse: bool = False) -> Propert
         ("lineitem", "o", "l_orderkey", "p", "l_partkey", "contains", "contained_in"),
         ("lineitem", "s", "l_suppkey", "p", "l_partkey", "supplies", "supplied_by"),
     ]
-    edges = []
-    for k, (name, a, src, b, dst, forth, back) in enumerate(pairs):
+
+    def between(k: int, r: int, rows: DataFrame) -> DataFrame:
+        """Edges of the ``k``-th key forth, or back (``r``), of some of the table's rows; of lines, all of an order or none."""
+        name, a, src, b, dst, forth, back = pairs[k]
         own = {"quantity": F.col("l_quantity"), "price": F.col("l_extendedprice")} if forth == "contains" else {}
-        rows = t[name]
         # an order that follows from the data, so that it is the same in every run and in SQL, and no two edges share a place
         among = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")) if name == "lineitem" else F.lit(0)
         place = (F.col(PLACED_BY.get(name, src)).cast("long") * 4096 + among) * 16 + k * 2
-        for r in range(1 + reverse):
-            ends = (key(b, dst), key(a, src)) if r else (key(a, src), key(b, dst))
-            kind = back if r else forth
-            edges.append(rows.select(F.lit(None).cast("string").alias("id"), ends[0].alias("src"), ends[1].alias("dst"), _attr(EDGE_ATTR, type=kind, **own), (place + r).alias("seq")))
-    return PropertyGraph(reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges))
+        ends = (key(b, dst), key(a, src)) if r else (key(a, src), key(b, dst))
+        kind = back if r else forth
+        return rows.select(F.lit(None).cast("string").alias("id"), ends[0].alias("src"), ends[1].alias("dst"), _attr(EDGE_ATTR, type=kind, **own), (place + r).alias("seq"))
+
+    every = [(k, r) for k in range(len(pairs)) for r in range(1 + reverse)]
+    edges = reduce(DataFrame.unionByName, [between(k, r, t[pairs[k][0]]) for k, r in every])
+
+    def leaving(ids: DataFrame, placed: bool) -> DataFrame:
+        """Only tables with keys of the ids' kinds are read, and only orders that have a line to give to a few ids are numbered."""
+        letters = {x.a for x in ids.select(F.substring("id", 1, 1).alias("a")).where(F.col("a").isin(*"rncspo")).distinct().collect()}
+        few = hint(ids).select(F.col("id").alias("src"))
+        found, whole = [], {}
+        for k, r in every:
+            name, a, src, b, dst, *_ = pairs[k]
+            letter, column = (b, dst) if r else (a, src)
+            if letter not in letters:
+                continue
+            rows = t[name]
+            if name == "lineitem" and column == "l_orderkey":
+                rows = rows.withColumn("src", key(letter, column)).join(few, "src", "left_semi")
+            elif name == "lineitem" and placed and is_few(ids):
+                if letter not in whole:
+                    hit = rows.select("l_orderkey", key(letter, column).alias("src")).join(few, "src", "left_semi")
+                    whole[letter] = keep(hit.select("l_orderkey").distinct(), "orders")
+                rows = rows.join(hint(whole[letter]), "l_orderkey", "left_semi")
+            found.append(between(k, r, rows).join(few, "src", "left_semi").select(edges.columns))
+        return reduce(DataFrame.unionByName, found) if found else edges.where(F.lit(False))
+
+    return PropertyGraph(reduce(DataFrame.unionByName, nodes), edges, leaving=leaving)
 
 
 def event_users(spark: SparkSession, sf_dir: str) -> PropertyGraph:
