@@ -14,7 +14,7 @@ from ..operators import embed, mutate, traverse
 from ..operators.walks import random_walks
 from ..schema import Attributes
 from ..sources import columnar, export, json_graph, lgf, star_schema
-from .lineage import shared_folder
+from .lineage import hint, keep, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -353,10 +353,11 @@ def dfs_depth_limited(spark: SparkSession, d: str) -> DataFrame:
 def random_walk_invariants(spark: SparkSession, d: str) -> DataFrame:
     """Every step is an edge, no node is met twice, lengths hold, walks are distinct."""
     g = star_schema.commerce(spark, d, reverse=True)
-    walks = random_walks(g, "c7", 6, 200, seed=5)
+    walks = keep(random_walks(g, "c7", 6, 200, seed=5), "walks")
     steps = walks.select(F.explode(F.zip_with(F.slice("path", F.lit(1), F.size("path") - 1), F.slice("path", F.lit(2), F.size("path") - 1), lambda a, b: F.struct(a.alias("src"), b.alias("dst")))).alias("s")).select("s.*")
     one = lambda df, c, name: df.agg(F.coalesce(c, F.lit(0)).cast("long").alias(name)).withColumn("_k", F.lit(1))
-    out = one(steps.join(g.edges, ["src", "dst"], "left_anti"), F.count("*"), "wrong_steps")
+    edges = g.out_edges(keep(steps.select(F.col("src").alias("id")).distinct(), "sources"), placed=False).select("src", "dst")
+    out = one(steps.join(F.broadcast(keep(edges.join(hint(keep(steps.distinct(), "steps")), ["src", "dst"], "left_semi").distinct(), "known")), ["src", "dst"], "left_anti"), F.count("*"), "wrong_steps")
     out = out.join(one(walks, F.sum((F.size(F.array_distinct("path")) < F.size("path")).cast("int")), "revisits"), "_k")
     out = out.join(one(walks, F.sum((F.size("path") > 6).cast("int")), "too_long"), "_k")
     return out.join(one(walks, F.count("*") - F.countDistinct("path"), "repeated"), "_k").drop("_k")
