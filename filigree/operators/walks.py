@@ -8,8 +8,13 @@ count nodes; equal walks are reported once, the earliest attempt's.
 from __future__ import annotations
 
 import hashlib
+import math
+from bisect import insort
+from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,9 +64,7 @@ def random_walks(
     _check(graph, start, max_length, min_length, stratified)
     kind = F.coalesce(Attributes(graph.edges.schema).text(edge_type_field), F.lit("unknown"))
     if stratified and mode == "exact":
-        edges = graph.edges.select("src", "dst", "seq", kind.alias("kind")).join(graph.nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
-        lists = edges.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("seq", "dst", "kind"))).alias("out"))
-        walks = _sequential(graph, lists, start, max_length, num_attempts, allow_revisit, seed)
+        walks = _sequential(graph, kind, start, max_length, num_attempts, allow_revisit, seed)
     else:
         walks = _together(graph, kind, start, max_length, num_attempts, allow_revisit, seed, stratified)
     walks = walks.where(F.size("path") >= min_length)
@@ -137,40 +140,94 @@ def _inside(graph: PropertyGraph, out: DataFrame) -> DataFrame:
     return out.join(hint(nodes).select(F.col("id").alias("dst")), "dst", "left_semi")
 
 
-def _sequential(graph: PropertyGraph, lists: DataFrame, start: str | None, max_length: int, attempts: int, revisit: bool, seed: int) -> DataFrame:
-    """Each choice depends on all before it, so all walks are one task's work."""
-    import pandas as pd
+def _numbered(graph: PropertyGraph) -> tuple[DataFrame, int]:
+    """Ids with their number ``n`` in order, and how many there are; no task orders them all."""
+    ids = keep(graph.nodes.select("id").distinct(), "ids")
+    parts = min(1 + size(ids) // 200_000, 10_000)
+    placed = keep(ids.repartitionByRange(parts, "id").sortWithinPartitions("id").withColumn("place", F.monotonically_increasing_id()), "ordered")
+    counts = sorted((r.part, r.rows) for r in placed.groupBy(F.shiftright("place", 33).alias("part")).agg(F.count("*").alias("rows")).collect())  # a row a part
+    before = [(part, sum(rows for _, rows in counts[:i])) for i, (part, _) in enumerate(counts)]
+    first = graph.spark.createDataFrame(before, "part long, first long")
+    at = placed.withColumn("part", F.shiftright("place", 33)).join(F.broadcast(first), "part")
+    return at.select("id", (F.col("first") + F.col("place").bitwiseAND((1 << 33) - 1)).alias("n")), size(ids)
 
-    rows = graph.nodes.select("id").join(lists, graph.nodes["id"] == lists["src"], "left").select("id", "out", F.lit(1).alias("one"))
+
+def _sequential(graph: PropertyGraph, kind: Column, start: str | None, max_length: int, attempts: int, revisit: bool, seed: int) -> DataFrame:
+    """Each choice depends on all before it, so one task makes them all.
+
+    It knows nodes by their numbers in order of ids and edges by their numbers
+    at their source: 12 bytes an edge while they come in and four afterwards,
+    and 20 a node; walks of one node need no edges.
+    """
+    names, total = _numbered(graph)
+    names = keep(names, "names")
+    first = names.where(F.col("id") == start).first().n if start is not None else None
+    # a row that is no edge, so that the task has work where there are none
+    rows = graph.spark.range(1).select(*(F.lit(-1).alias(c) for c in ("src", "r", "dst")))
+    if max_length > 1:
+        end = lambda side: hint(names).select(F.col("id").alias(side), F.col("n").alias(f"_{side}"))
+        steps = graph.edges.select("src", "dst", "seq", kind.alias("kind")).join(end("dst"), "dst").join(end("src"), "src")
+        r = F.row_number().over(Window.partitionBy("_src").orderBy("seq", "dst", "kind")) - 1
+        steps = keep(steps.select(F.col("_src").cast("int").alias("src"), r.alias("r"), F.col("_dst").cast("int").alias("dst"), "kind"), "steps")
+        rows = rows.unionByName(steps.select("src", "r", "dst"))
 
     def uniform(*parts: Any) -> float:
         return int(hashlib.md5(":".join(map(str, (seed, *parts))).encode()).hexdigest()[:13], 16) / 16**13
 
-    def weighted(options: list, counts: dict[str, int], of: Any, *at: Any) -> Any:
-        weights = [1 / (1 + counts.get(of(o), 0)) for o in options]
-        left = uniform(*at) * sum(weights)
-        for o, w in zip(options, weights):
-            left -= w
-            if left < 0:
-                return o
-        return options[-1]
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        out = {i: [] if o is None else [(e["dst"], e["kind"]) for e in o] for i, o in zip(part["id"], part["out"])}
-        names, counts, found = sorted(out), {}, []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, sizes = [], np.zeros(total + 1, np.int64)
+        for batch in batches:
+            part = np.stack([c.to_numpy() for c in batch.columns])
+            part = part[:, part[0] >= 0]
+            np.add.at(sizes, part[0] + 1, 1)
+            parts.append(part)
+        begin = np.cumsum(sizes)
+        targets = np.empty(begin[-1], np.int32)
+        while parts:
+            src, r, dst = parts.pop()
+            targets[begin[src] + r] = dst
+        visits, seen, found = np.zeros(total, np.int32), [], []
+
+        def weighted(weights: np.ndarray, *at: Any) -> int:
+            upto = np.cumsum(weights)
+            return min(int(np.searchsorted(upto, uniform(*at) * upto[-1], side="right")), len(upto) - 1)
+
+        def any_node(attempt: int) -> int:
+            """As ``weighted`` over all nodes, of which only those visited weigh less than one."""
+            marks = np.array(seen, np.int64)
+            lost = np.cumsum(1 - 1 / (1 + visits[marks]))
+            aim = uniform(attempt, 0) * (total - (lost[-1] if seen else 0))
+            j = int(np.searchsorted(marks + 1 - lost, aim, side="right"))
+            low, high = marks[j - 1] + 1 if j else 0, marks[j] if j < len(seen) else total - 1
+            return int(min(max(math.floor(aim + (lost[j - 1] if j else 0)), low), high))
+
+        def visit(node: int) -> None:
+            if not visits[node]:
+                insort(seen, node)
+            visits[node] += 1
+
         for attempt in range(attempts):
-            at = start if start is not None else weighted(names, counts, lambda x: x, attempt, 0)
-            path, types = [at], []
-            counts[at] = counts.get(at, 0) + 1
+            at = first if first is not None else any_node(attempt)
+            path = [at]
+            visit(at)
             while len(path) < max_length:
-                options = [e for e in out[at] if revisit or e[0] not in path]
-                if not options:
+                out = targets[begin[at] : begin[at + 1]]
+                free = np.arange(len(out)) if revisit else np.flatnonzero(~np.isin(out, path))
+                if not len(free):
                     break
-                at, kind = weighted(options, counts, lambda e: e[0], attempt, len(path))
+                r = int(free[weighted(1 / (1 + visits[out[free]]), attempt, len(path))])
+                found.append((attempt, len(path) - 1, at, r))
+                at = int(out[r])
                 path.append(at)
-                types.append(kind)
-                counts[at] = counts.get(at, 0) + 1
-            found.append((attempt, path, types))
-        return pd.DataFrame(found, columns=["attempt", "path", "types"])
-
-    return rows.groupBy("one").applyInPandas(run, "attempt long, path array<string>, types array<string>")
+                visit(at)
+            found.append((attempt, len(path) - 1, at, None))
+        yield pa.RecordBatch.from_pydict({c: pa.array([f[i] for f in found], pa.int64()) for i, c in enumerate(("attempt", "k", "n", "r"))})
+
+    picks = keep(rows.coalesce(1).mapInArrow(run, "attempt long, k long, n long, r long"), "picks")
+    in_order = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("k", c))), lambda x: x[c])
+    walks = names.join(hint(picks), "n").groupBy("attempt").agg(in_order("id").alias("path"))
+    if max_length == 1:
+        return walks.withColumn("types", F.array().cast("array<string>"))
+    taken = hint(picks).where("r is not null").select("attempt", "k", F.col("n").cast("int").alias("src"), F.col("r").cast("int").alias("r"))
+    types = steps.join(taken, ["src", "r"]).groupBy("attempt").agg(in_order("kind").alias("types"))
+    return walks.join(types, "attempt", "left").withColumn("types", F.coalesce("types", F.array().cast("array<string>")))
