@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import dis
 from collections.abc import Callable, Iterator
+from itertools import repeat
+from types import CodeType, FunctionType
 from typing import TYPE_CHECKING, Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 from ..schema import decode_attr
 
@@ -87,10 +91,27 @@ class NodeView:
 class EdgeView:
     """An edge as a predicate sees it; its ends know their attributes, not their neighbours."""
 
-    def __init__(self, edge_id: str | None, src: str, dst: str, attrs: dict[str, Any], ends: tuple[dict[str, Any], dict[str, Any]] = ({}, {})):
-        self.id, self.from_id, self.to_id, self.attrs = edge_id, src, dst, attrs
-        self.from_node, self.to_node = (NodeView(i, a, {}, [], []) for i, a in zip((src, dst), ends))
-        self._a = Plain(attrs)
+    def __init__(self, edge_id: str | None, src: str, dst: str, attrs: dict[str, Any], ends: tuple[dict[str, Any], dict[str, Any]] | None = ({}, {})):
+        self.id, self.from_id, self.to_id, self.attrs, self._ends = edge_id, src, dst, attrs, ends
+
+    def _end(self, i: int) -> NodeView:
+        if self._ends is None:
+            raise RuntimeError("the predicate was taken not to ask for an edge's ends")
+        return NodeView((self.from_id, self.to_id)[i], self._ends[i], {}, [], [])
+
+    # made for predicates that ask for them: most look at few things, at many edges
+
+    @property
+    def from_node(self) -> NodeView:
+        return self._end(0)
+
+    @property
+    def to_node(self) -> NodeView:
+        return self._end(1)
+
+    @property
+    def _a(self) -> Plain:
+        return Plain(self.attrs)
 
     @property
     def type(self) -> Any:
@@ -132,21 +153,72 @@ def node_filter(graph: PropertyGraph, predicate: Callable[[NodeView], Any]) -> D
     return rows.select(*columns, "_out", "_in").mapInArrow(run, graph.nodes.schema)
 
 
-def edge_filter(graph: PropertyGraph, predicate: Callable[[EdgeView], bool]) -> DataFrame:
-    """Edges for which ``predicate`` is True; anything but a bool is an error."""
+#: Builtins that get at no attribute by its name.
+_PLAIN_CALLS = frozenset("abs all any bool dict enumerate float frozenset int isinstance len list max min range round set sorted str sum tuple zip".split())
+_VALUES = (str, bytes, int, float, bool, type(None))
+
+
+def _value(x: Any) -> bool:
+    """Whether ``x`` is plain data, that can't ask an edge for anything."""
+    if type(x) in (list, tuple, set, frozenset):
+        return all(_value(v) for v in x)
+    if type(x) is dict:
+        return all(_value(v) for kv in x.items() for v in kv)
+    return type(x) in _VALUES
+
+
+def asks_for_ends(predicate: Callable) -> bool:
+    """Whether a predicate may look at the nodes at an edge's ends; no only where its code shows all that it can reach."""
+    if type(predicate) is not FunctionType or not _value([*(predicate.__defaults__ or ()), *(predicate.__kwdefaults__ or {}).values()]):
+        return True
+    try:
+        if not all(_value(cell.cell_contents) for cell in predicate.__closure__ or ()):
+            return True
+    except ValueError:  # an empty cell
+        return True
+    codes = [predicate.__code__]
+    for code in codes:
+        codes += [c for c in code.co_consts if isinstance(c, CodeType)]
+        for step in dis.get_instructions(code):
+            name = step.argval
+            if "IMPORT" in step.opname:
+                return True
+            if step.opname in ("LOAD_GLOBAL", "LOAD_NAME"):
+                own = predicate.__globals__
+                if not (_value(own[name]) if name in own else name in _PLAIN_CALLS):
+                    return True
+            elif "ATTR" in step.opname or "METHOD" in step.opname:
+                if name in ("from_node", "to_node", "format", "format_map") or str(name).startswith("_"):
+                    return True
+    return False
+
+
+def _dicts(column: pa.Array) -> list[dict[str, Any]]:
+    """Attributes of a batch; the fields of a typed layout are read a column at a time."""
+    if not pa.types.is_struct(column.type) or any(pa.types.is_struct(f.type) for f in column.type):
+        return [_attrs(v) for v in column.to_pylist()]
+    names = [f.name for f in column.type]
+    return [{k: v for k, v in zip(names, row) if v is not None} for row in zip(*(c.to_pylist() for c in column.flatten()))]
 
-    columns = graph.edges.columns
-    at = [columns.index(c) for c in ("id", "src", "dst", "attr")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            read = [part.column(k).to_pylist() for k in (*at, len(columns), len(columns) + 1)]
-            verdicts = [predicate(EdgeView(i, s, d, _attrs(a), (_attrs(x), _attrs(y)))) for i, s, d, a, x, y in zip(*read)]
-            if any(not isinstance(v, bool) for v in verdicts):
+def edge_filter(graph: PropertyGraph, predicate: Callable[[EdgeView], bool]) -> DataFrame:
+    """Edges for which ``predicate`` is True; anything but a bool is an error.
+
+    Only what the predicate may ask for goes to Python: other columns stay
+    behind, and the nodes are joined only where it may look at an edge's ends.
+    """
+    ends = asks_for_ends(predicate)
+
+    def kept(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for ids, src, dst, attr, *sides in batches:
+            around = zip(*(_dicts(x) for x in sides)) if ends else repeat(None)
+            verdicts = [predicate(EdgeView(*row)) for row in zip(ids.to_pylist(), src.to_pylist(), dst.to_pylist(), _dicts(attr), around)]
+            if any(v is not True and v is not False for v in verdicts):
                 raise TypeError("an edge predicate must return a bool")
-            yield part.select(range(len(columns))).filter(pa.array(verdicts, pa.bool_()))
+            yield pa.array(verdicts, pa.bool_())
 
     wide = graph.edges
-    for side in ("src", "dst"):
+    for side in ("src", "dst") if ends else ():
         wide = wide.join(graph.nodes.select(F.col("id").alias(side), F.col("attr").alias(f"_{side}_attr")), side, "left")
-    return wide.select(*columns, "_src_attr", "_dst_attr").mapInArrow(run, graph.edges.schema)
+    keeps = F.arrow_udf(kept, "boolean", ArrowUDFType.SCALAR_ITER)
+    return wide.where(keeps("id", "src", "dst", "attr", *(f"_{side}_attr" for side in ("src", "dst") if ends))).select(graph.edges.columns)
