@@ -10,15 +10,17 @@ an anti-join, written out to keep the plan short.
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable
+from functools import cache
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph
-from ..plans.lineage import forget, keep
+from ..plans.lineage import forget, hint, keep, size
 
 LOCAL_EDGES = 300_000
 VISITED = "id string, depth long, rank long, parent string"
@@ -87,47 +89,74 @@ class _Small:
         return out
 
 
-def _small(edges: DataFrame) -> _Small | None:
-    """The edges in memory, if there are no more than LOCAL_EDGES."""
-    table = edges.limit(LOCAL_EDGES + 1).toArrow()
-    return _Small(table) if len(table) <= LOCAL_EDGES else None
+def _small(graph: PropertyGraph, wanted: Any) -> _Small | None:
+    """The narrowed edges in memory, if there are no more than LOCAL_EDGES before they are held against the nodes.
+
+    They are counted without their places and targets, which costs no shuffle.
+    """
+    if graph.where_edges(wanted).select("src").count() > LOCAL_EDGES:
+        return None
+    return _Small(_narrow(graph, wanted).toArrow())
 
 
 #: From so many levels on, the narrowed edges are kept between levels; a few are cheaper to read again.
 KEEP_LEVELS = 4
+Near = Callable[[DataFrame, bool], DataFrame]
+
+
+def _near(graph: PropertyGraph, wanted: Any) -> Near | None:
+    """Finds the edges that leave a level's nodes; None where the filter is a callable, which may cost more than a level."""
+    if wanted is not None and not isinstance(wanted, (dict, Column)):
+        return None
 
+    def near(level: DataFrame, placed: bool) -> DataFrame:
+        edges = graph.out_edges(level, placed)
+        return edges if wanted is None else graph.replace(edges=edges).where_edges(wanted)
 
-def frontier(starts: DataFrame, edges: DataFrame, depth: int | None, ordered: bool = False, target: str | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    return near
+
+
+def frontier(starts: DataFrame, edges: DataFrame, depth: int | None, ordered: bool = False, target: str | None = None, nodes: DataFrame | None = None, near: Near | None = None) -> DataFrame:
     """Visited nodes level by level: id, depth, and with ``ordered`` rank and parent of the first discoverer.
 
     With ``nodes``, what a level meets is held against them, which costs a
-    level's size; without, all targets are taken to be nodes.
+    level's size; without, all targets are taken to be nodes.  ``near`` finds
+    the edges of the first KEEP_LEVELS levels; ``edges`` serve those after.
     """
-    inside = (lambda df: nodes.select("id").join(df, "id")) if nodes is not None else lambda df: df
+
+    def inside(df: DataFrame, name: str) -> DataFrame:
+        if nodes is None or near is not None and not by_level:
+            return df
+        met = keep(df, name)  # its size decides how it meets the nodes
+        return nodes.select("id").join(hint(met), "id").select(df.columns)
+
     level = keep(starts.select("id", F.lit(0).cast("long").alias("depth"), *([F.col("rank"), F.lit(None).cast("string").alias("parent")] if ordered else [])), "level0")
     visited, levels, d = level, [level], 0
-    edges = edges.select("src", "dst", *(["seq"] if ordered else []))
-    long = depth is None or depth >= KEEP_LEVELS
-    if long:
-        edges = edges.persist()
-    base = level.count() if ordered else 0
+    columns = ["src", "dst", *(["seq"] if ordered else [])]
+    edges = edges.select(columns)
+    long, held = depth is None or depth >= KEEP_LEVELS, False
+    base = size(level) if ordered else 0
     while depth is None or d < depth:
         if target is not None and not visited.where(F.col("id") == target).isEmpty():
             break
         d += 1
-        met = level.select(F.col("id").alias("src"), *([F.col("rank").alias("from_rank")] if ordered else [])).join(edges, "src")
+        by_level = near is not None and d <= KEEP_LEVELS
+        if long and not held and not by_level:
+            edges, held = edges.persist(), True
+        source = near(level, ordered).select(columns) if by_level else edges
+        met = hint(level).select(F.col("id").alias("src"), *([F.col("rank").alias("from_rank")] if ordered else [])).join(source, "src")
         if ordered:
             first = met.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("from_rank", "seq", "src")).alias("by"))
-            fresh = inside(first.join(visited.select("id"), "id", "left_anti"))
+            fresh = inside(first.join(visited.select("id"), "id", "left_anti"), f"met{d}")
             # a level's order is global, so it is numbered in one task; ordered traversals are for results that fit one
             rank = F.row_number().over(Window.orderBy("by.from_rank", "by.seq")) - 1 + base
             fresh = fresh.select("id", F.lit(d).cast("long").alias("depth"), rank.cast("long").alias("rank"), F.col("by.src").alias("parent"))
         else:
-            fresh = inside(met.select(F.col("dst").alias("id")).distinct().join(visited.select("id"), "id", "left_anti")).select("id", F.lit(d).cast("long").alias("depth"))
+            fresh = inside(met.select(F.col("dst").alias("id")).distinct().join(visited.select("id"), "id", "left_anti"), f"met{d}").select("id", F.lit(d).cast("long").alias("depth"))
         if d == depth and not ordered:  # nothing follows, so nothing waits for it
             return visited.unionByName(fresh)
         level = keep(fresh, f"level{d}")
-        n = level.count()
+        n = size(level)
         if not n:
             break
         base += n
@@ -138,7 +167,7 @@ def frontier(starts: DataFrame, edges: DataFrame, depth: int | None, ordered: bo
             for x in old[:-1]:
                 forget(x)
             levels = [visited, level]
-    if long:
+    if held:
         edges.unpersist()
     return visited
 
@@ -147,15 +176,13 @@ def visit(graph: PropertyGraph, starts: list[str] | DataFrame, depth: int | None
     """(id, depth, rank, parent) of the nodes reached from ``starts``."""
     spark = graph.spark
     short = depth is not None and depth < KEEP_LEVELS and not ordered
-    if isinstance(starts, list) and not short and (small := _small(_narrow(graph, wanted))):
+    if isinstance(starts, list) and not short and (small := _small(graph, wanted)):
         out = spark.createDataFrame(small.bfs(starts, depth, target), VISITED)
     else:
         if isinstance(starts, list):
             starts = spark.createDataFrame([(s, i) for i, s in enumerate(starts)], "id string, rank long")
-        if short:
-            out = frontier(starts, graph.where_edges(wanted), depth, ordered, target, graph.nodes)
-        else:
-            out = frontier(starts, _narrow(graph, wanted), depth, ordered, target)
+        near = _near(graph, wanted)
+        out = frontier(starts, graph.where_edges(wanted) if short else _narrow(graph, wanted), depth, ordered, target, graph.nodes if short or near else None, near)
     return out if ordered else out.select("id", "depth", F.lit(None).cast("long").alias("rank"), F.lit(None).cast("string").alias("parent"))
 
 
@@ -168,9 +195,9 @@ def _known(graph: PropertyGraph, *ids: str) -> None:
 
 def _result(graph: PropertyGraph, visited: DataFrame) -> PropertyGraph:
     """The visited nodes with depth and rank, and all their out-edges."""
-    nodes = graph.nodes.drop("depth", "rank").join(visited.select("id", "depth", "rank"), "id")
-    edges = graph.edges.join(visited.select(F.col("id").alias("src")), "src", "left_semi").select(graph.edges.columns)
-    return graph.replace(nodes, edges)
+    visited = keep(visited.select("id", "depth", "rank"), "visited")
+    nodes = graph.nodes.drop("depth", "rank").join(hint(visited), "id")
+    return graph.replace(nodes, cache(lambda: graph.out_edges(visited)))
 
 
 def bfs(graph: PropertyGraph, start: str, depth: int | None = None, wanted: Any = None, ordered: bool = True) -> PropertyGraph:
@@ -186,11 +213,12 @@ def dfs(graph: PropertyGraph, start: str, depth: int | None = None, wanted: Any
     sequential by definition and found in one task.
     """
     _known(graph, start)
-    edges = _narrow(graph, wanted)
-    if small := _small(edges):
+    if small := _small(graph, wanted):
         return _result(graph, graph.spark.createDataFrame(small.dfs(start, depth), VISITED))
-    reach = keep(frontier(graph.spark.createDataFrame([(start,)], "id string"), edges, depth), "reach")
-    inner = edges.join(reach.select(F.col("id").alias("src")), "src", "left_semi").join(reach.select(F.col("id").alias("dst")), "dst", "left_semi")
+    edges, near = _narrow(graph, wanted), _near(graph, wanted)
+    reach = keep(frontier(graph.spark.createDataFrame([(start,)], "id string"), edges, depth, nodes=graph.nodes if near else None, near=near), "reach")
+    out = near(reach, True) if near else edges.join(hint(reach).select(F.col("id").alias("src")), "src", "left_semi")
+    inner = keep(out.select("src", "dst", "seq").join(hint(reach).select(F.col("id").alias("dst")), "dst", "left_semi"), "inner")
 
     def run(table: pa.Table) -> pa.Table:
         rows = _Small(table).dfs(start, depth)
@@ -212,13 +240,12 @@ def bfs_search(graph: PropertyGraph, start: str, target: str, depth: int | None
 def path_ids(graph: PropertyGraph, root: str, target: str, max_depth: int | None = None) -> list[str]:
     """Node ids of the shortest path that is found first."""
     _known(graph, root, target)
-    edges = _narrow(graph, None)
-    if small := _small(edges):
+    if small := _small(graph, None):
         by = {r[0]: r[3] for r in small.bfs([root], max_depth, target)}
         parent = by.get
     else:
         start = graph.spark.createDataFrame([(root, 0)], "id string, rank long")
-        visited = frontier(start, edges, max_depth, True, target)
+        visited = frontier(start, _narrow(graph, None), max_depth, True, target, graph.nodes, _near(graph, None))
 
         def parent(at: str) -> str | None:  # a lookup for each level
             row = visited.where(F.col("id") == at).select("parent").first()
@@ -246,7 +273,7 @@ def shortest_path(graph: PropertyGraph, root: str, target: str, max_depth: int |
 def expand(sub: PropertyGraph, source: PropertyGraph, depth: int = 1) -> PropertyGraph:
     """Induced subgraph of ``source`` on what its out-edges reach from the nodes of ``sub`` in ``depth`` hops."""
     seeds = sub.nodes.select("id").join(source.nodes.select("id"), "id", "left_semi")
-    reached = frontier(seeds, source.edges if depth < KEEP_LEVELS else _narrow(source, None), depth, nodes=source.nodes if depth < KEEP_LEVELS else None)
-    return PropertyGraph(source.nodes, source.edges, {}, source.handlers).induced(reached)
+    reached = frontier(seeds, source.edges if depth < KEEP_LEVELS else _narrow(source, None), depth, nodes=source.nodes, near=_near(source, None))
+    return source.replace(meta={}).induced(reached)
 
 
