@@ -295,6 +295,11 @@ class PropertyGraph:
         return random_walks(self, start, max_length, num_attempts, **options)
 
 
+def kept(graph: PropertyGraph) -> PropertyGraph:
+    """The graph with its tables written once, for those that go through them several times."""
+    return graph.replace(keep(graph.nodes, "nodes"), keep(graph.edges, "edges"))
+
+
 def one_filter(wanted: Any, edge_filter: Callable | None) -> Any:
     """A single edge criterion from the two arguments."""
     if edge_filter is None:

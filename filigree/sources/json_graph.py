@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..graph import PropertyGraph
+from ..graph import PropertyGraph, kept
 from ..schema import ATTR, EDGES, NODES, decode_attr, encode
 
 #: Names of the value variants.
@@ -105,7 +105,7 @@ def tables(graph: PropertyGraph) -> tuple[DataFrame, DataFrame]:
 
 def to_json(graph: PropertyGraph) -> str:
     """The document as text, for graphs that a driver holds."""
-    nodes, edges = tables(graph.validate())
+    nodes, edges = tables(kept(graph).validate())
     attrs = lambda row, name: {k: tag(v) for k, v in decode_attr(row[name]).items()} if name in row else {}
     ns = {r.id: {"id": r.id, "attr": attrs(r, "attr"), "meta": attrs(r, "meta"), "edge_ids": r.edge_ids, "inverse_edge_ids": r.inverse_edge_ids} for r in nodes.toLocalIterator()}
     es = {r.id: {"id": r.id, "from_id": r.src, "to_id": r.dst, "attr": attrs(r, "attr"), "meta": attrs(r, "meta")} for r in edges.orderBy("seq").toLocalIterator()}
