@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..graph import PropertyGraph
+from ..graph import PropertyGraph, kept
 
 
 def save_parquet(graph: PropertyGraph, path: str, validate: bool = True, partition_by: list[str] | None = None) -> None:
     """Nodes, edges and meta under ``path``."""
     if validate:
-        graph.validate()
+        graph = kept(graph).validate()
     graph.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
     edges = graph.edges.write.mode("overwrite")
     (edges.partitionBy(*partition_by) if partition_by else edges).parquet(f"{path}/edges")
