@@ -167,7 +167,8 @@ class PropertyGraph:
                 counts = e.groupBy(F.col("src" if need[0] == "degree" else "dst").alias("id")).agg(F.count("*").alias("_n"))
                 df = df.join(counts, "id", "left").withColumn(f"_f_{need[0]}", F.coalesce("_n", F.lit(0))).drop("_n")
             elif need[0] == "neighbor_ids":
-                sets = e.groupBy(F.col("src").alias("id")).agg(F.collect_set("dst").alias("_n"))
+                # a source's edges are brought together first: sets made before the shuffle hold a whole split and shrink little
+                sets = e.select(F.col("src").alias("id"), "dst").repartition("id").groupBy("id").agg(F.collect_set("dst").alias("_n"))
                 df = df.join(sets, "id", "left").withColumn("_f_neighbor_ids", F.coalesce("_n", F.array().cast("array<string>"))).drop("_n")
             else:
                 at, other = ("src", "dst") if need[0] == "to" else ("dst", "src")
