@@ -17,8 +17,8 @@ def save_parquet(graph: PropertyGraph, path: str, validate: bool = True, partiti
     """Nodes, edges and meta under ``path``."""
     if validate:
         graph = kept(graph).validate()
-    graph.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-    edges = graph.edges.write.mode("overwrite")
+    graph.nodes.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/nodes")
+    edges = graph.edges.write.mode("overwrite").option("compression", "zstd")
     (edges.partitionBy(*partition_by) if partition_by else edges).parquet(f"{path}/edges")
     graph.spark.createDataFrame([(json.dumps(graph.meta, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
